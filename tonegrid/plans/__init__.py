@@ -1 +1,17 @@
-"""Queries over the driver's tables, one function for each name."""
+"""Queries over the driver's tables, one function for each name, and their SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tonegrid.plans import sound
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {"p3_found": sound.p3_found}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
