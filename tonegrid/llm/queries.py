@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonegrid.llm import bpe, chunking, cooccurrence, frequency, mixing, neardup, packing, spans
+from tonegrid.llm import bpe, chunking, cooccurrence, frequency, mixing, mojibake, neardup, packing, spans
 from tonegrid.llm.records import once
 from tonegrid.session import table
 
@@ -115,7 +115,17 @@ def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"), p9_shares(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p2_found, p2_pairs, p4_found, p4_cohesion, p5_found, p5_coverage, p6_found, p6_rows, p7_found, p8_ids, p9_found, p9_shares, p9_mix)}
+def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, ciphers, restored) of the decisions with garbled text."""
+    return mojibake.repair(table(spark, sf_dir, "documents"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions with at least one garbled character."""
+    return p10_restored(spark, sf_dir).select("doc_id").distinct()
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p2_found, p2_pairs, p4_found, p4_cohesion, p5_found, p5_coverage, p6_found, p6_rows, p7_found, p8_ids, p9_found, p9_shares, p9_mix, p10_found, p10_restored)}
 
 
 def oracle_sql() -> dict[str, str]:
