@@ -76,7 +76,7 @@ def candidates(run: str) -> dict[str, Cipher]:
         once = as_utf8(run, wrong)
         if once and once != run:
             out.setdefault(once, ("utf-8", wrong))
-            for again in PAGES:
+            for again in sorted({wrong, "cp1252", "latin-1"}):
                 twice = as_utf8(once, again)
                 if twice and twice != once:
                     out.setdefault(twice, ("utf-8", f"{wrong}+{again}"))
