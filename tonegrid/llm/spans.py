@@ -49,6 +49,21 @@ def _anchors(h: np.ndarray, inside: np.ndarray, width: int) -> np.ndarray:
     return np.unique(np.concatenate(chosen)) if chosen else np.empty(0, np.int64)
 
 
+def _packed(values: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """The ids of each record in as few bytes each as its largest takes; the first byte says how many."""
+    out = []
+    for a, b in zip(offsets, offsets[1:]):
+        own = values[a:b]
+        size = 4 if own.min() < 0 or own.max() > 65535 else 2 if own.max() > 255 else 1
+        out.append(bytes([size]) + own.astype(f"<{'i' if size == 4 else 'u'}{size}").tobytes())
+    return out
+
+
+def _unpacked(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    own = [np.frombuffer(p, f"<{'i' if p[0] == 4 else 'u'}{p[0]}", offset=1).astype(np.int32) for p in packed]
+    return np.concatenate(own), np.concatenate([[0], np.cumsum([len(x) for x in own])])
+
+
 SEEN = "route bigint, h bigint, h2 int, rec bigint, pos int, resolved boolean"
 
 
@@ -138,9 +153,16 @@ def shared_spans(df: DataFrame, record: Sequence[str], ids: str, least: int = 40
                 rec = part.column(0).to_numpy(zero_copy_only=False)[row]
                 yield _seen(signed(h[at]), np.zeros(len(at), np.int32), rec, (at - offsets[row]).astype(np.int32))
 
-    def windows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for values, offsets, part in _records(batch):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_packed(values, offsets), pa.binary())], ["rec", "ids"])
+
+    def windows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                values, offsets = _unpacked(part.column(1).to_pylist())
                 pos, starts = flat(part.column(2))
                 n = np.diff(offsets)
                 per = np.diff(starts)
@@ -157,7 +179,7 @@ def shared_spans(df: DataFrame, record: Sequence[str], ids: str, least: int = 40
 
     found = _shared(d.select("rec", "ids").mapInArrow(anchors, SEEN))
     found = found.groupBy("rec").agg(F.collect_set("pos").alias("anchors"))  # at most the record's own positions
-    likely = d.select("rec", "ids").join(found, "rec")
+    likely = d.select("rec", "ids").mapInArrow(packed, "rec bigint, ids binary").join(found, "rec")
     shared = _shared(likely.mapInArrow(windows, SEEN))
     along = Window.partitionBy("rec").orderBy("pos")
     shared = shared.withColumn("_before", F.lag("pos").over(along))
