@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonegrid.plans import sound
+from tonegrid.plans import music, sound
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": sound.p3_found}
+    return {"p3_found": sound.p3_found, **music.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**music.SQL}
