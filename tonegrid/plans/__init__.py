@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonegrid.plans import music, sound
+from tonegrid.plans import music, sets, sound
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": sound.p3_found, **music.QUERIES}
+    return {"p3_found": sound.p3_found, **music.QUERIES, **sets.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**music.SQL}
+    return {**music.SQL, **sets.SQL}
