@@ -14,11 +14,12 @@ def positions(df: DataFrame, keys: list[str], ids: str) -> DataFrame:
     return d.select(*keys, F.col("n").cast("bigint").alias("n"), F.col("pos").cast("bigint").alias("pos"), "id")
 
 
-def random_parts(sizes: DataFrame, keys: list[str], n: str, k: str, seed: int) -> DataFrame:
-    """(*keys, i, part): the numbers 1..n of each row cut into k parts (at most n, at least 1), in order; the k - 1 cuts are those with the least hash."""
+def random_parts(sizes: DataFrame, keys: list[str], n: str, k: str, u: Column) -> DataFrame:
+    """(*keys, i, part): the numbers 1..n of each row cut into k parts (at most n, at least 1), in order; the k - 1 cuts are those with the least u,
+    a random number made of the keys and i."""
     d = sizes.where(F.col(n) > 0).select(*keys, F.greatest(F.lit(1), F.least(F.col(k), F.col(n))).alias("_k"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(n))).alias("i"))
     by = Window.partitionBy(*keys).orderBy(F.col("i") == 1, F.col("_u"), "i")
-    d = d.withColumn("_u", uniform(seed, *keys, "i")).withColumn("_rank", F.row_number().over(by))
+    d = d.withColumn("_u", u).withColumn("_rank", F.row_number().over(by))
     d = d.withColumn("_cut", ((F.col("i") > 1) & (F.col("_rank") <= F.col("_k") - 1)).cast("bigint"))
     part = F.sum("_cut").over(Window.partitionBy(*keys).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)) + 1
     return d.select(*keys, "i", part.alias("part"))
@@ -30,8 +31,10 @@ def noise_mask(sizes: DataFrame, keys: list[str], n: str, density: float, mean_s
     noise = F.greatest(F.lit(1), F.least(F.rint(F.col(n) * density).cast("bigint"), F.col(n) - 1))
     d = sizes.where(F.col(n) > 1).select(*keys, noise.alias("_noise"), (F.col(n) - noise).alias("_clear"))
     d = d.withColumn("_spans", F.greatest(F.lit(1), F.least(F.rint(F.col("_noise") / mean_span).cast("bigint"), F.col("_noise"), F.col("_clear"))))
-    rows = random_parts(d, keys, "_noise", "_spans", seed).withColumn("noise", F.lit(1))
-    rows = rows.unionByName(random_parts(d, keys, "_clear", "_spans", seed + 1).withColumn("noise", F.lit(0)))
+    sides = F.array(F.struct(F.lit(1).alias("noise"), F.col("_noise").alias("_n")), F.struct(F.lit(0).alias("noise"), F.col("_clear").alias("_n")))
+    d = d.select(*keys, "_spans", F.inline(sides))
+    u = F.when(F.col("noise") == 1, uniform(seed, *keys, "i")).otherwise(uniform(seed + 1, *keys, "i"))
+    rows = random_parts(d, [*keys, "noise"], "_n", "_spans", u)
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("part", "noise", "i")) - 1
     return rows.select(*keys, place.cast("bigint").alias("pos"), "noise")
 

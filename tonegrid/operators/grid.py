@@ -37,7 +37,7 @@ def beats(signatures: DataFrame, tpq: DataFrame, ends: DataFrame) -> DataFrame:
 def with_bar(notes: DataFrame, bars: DataFrame) -> DataFrame:
     """Notes with the bar that they start in: an as-of join by one window over both, without a range join."""
     marks = bars.select("score_id", F.col("tick").alias("time"), F.lit(0).alias("_kind"), "bar", F.col("tick").alias("bar_tick"))
-    d = notes.withColumn("_kind", F.lit(1)).unionByName(marks, allowMissingColumns=True)
+    d = notes.withColumn("_kind", F.lit(1)).unionByName(marks, allowMissingColumns=True).repartition("score_id")
     along = Window.partitionBy("score_id").orderBy("time", "_kind").rowsBetween(Window.unboundedPreceding, 0)
     for c in ("bar", "bar_tick"):
         d = d.withColumn(c, F.last(c, True).over(along))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonegrid.config import DEFAULT
+from tonegrid.functions import uniform
 from tonegrid.operators import collate, controls, corrupt, grammar, structure
 from tonegrid.plans import base
 from tonegrid.plans.base import GRID, RAW
@@ -281,7 +282,7 @@ mask as (select score_id, seq_id, row_number() over (partition by score_id, seq_
 
 @query(f"with {_SEQS}, {_parts_sql('rp', 'sq', 'n', '5', 7)} select score_id, seq_id, i, part from rp")
 def random_segmentation(spark, sf):
-    return corrupt.random_parts(_seqs(spark, sf).withColumn("k", F.lit(5).cast("bigint")), SEQ, "n", "k", 7)
+    return corrupt.random_parts(_seqs(spark, sf).withColumn("k", F.lit(5).cast("bigint")), SEQ, "n", "k", uniform(7, *SEQ, "i"))
 
 
 @query(f"with {_SEQS}, {_mask_sql(0.15, 3.0)} select score_id, seq_id, pos, noise from mask")
