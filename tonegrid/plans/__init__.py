@@ -14,4 +14,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**music.SQL, **sets.SQL}
+    return {"p3_found": sound.P3_SQL, **music.SQL, **sets.SQL}
