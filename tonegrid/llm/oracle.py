@@ -22,7 +22,7 @@ rc as (
   select config_name, score_id, seq_id, m, o, n, cuts, 0::bigint as piece_no, 0::bigint as first_pos, 0::bigint as nx, false as over from bt
   union all
   select config_name, score_id, seq_id, m, o, n, cuts, piece_no + 1, nx, e - o, n - nx <= m from (
-    select *, case when n - nx <= m then n + o else coalesce(list_max(list_filter(cuts, lambda c: c > nx + o and c <= nx + m)), nx + m) end e from rc where not over))
+    select *, case when n - nx <= m then n else coalesce(list_max(list_filter(cuts, lambda c: c > nx + o and c <= nx + m)), nx + m) end e from rc where not over))
 select config_name, score_id, seq_id, piece_no::int as piece_no, first_pos::int as first_pos, (nx + o - 1)::int as last_pos from rc where piece_no > 0"""
 
 _SPANS = """sq as (select score_id, seq_id, any_value(ids) ids from token_file where len(ids) >= 40 group by score_id, seq_id),
