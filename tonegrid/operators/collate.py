@@ -23,11 +23,11 @@ def padded(ids: Column, size: Column | int, pad: int, left: bool = False) -> Col
     return F.slice(F.concat(fill, ids) if left else F.concat(ids, fill), 1, size)
 
 
-def collate(df: DataFrame, batch: list[str], ids: str, pad: int, label_pad: int = -100, left: bool = False, shift: bool = False) -> DataFrame:
+def collate(df: DataFrame, batch: list[str], ids: str, pad: int, label_pad: int = -100, left: bool = False, shift: bool = False, multiple: int = 1) -> DataFrame:
     """input_ids, attention_mask and labels of each row, padded to the longest of its batch; empty and null rows are skipped. The longest comes
-    from an aggregate of lengths, not from gathered batches. shift: labels are those of the next place."""
+    from an aggregate of lengths, not from gathered batches. shift: labels are those of the next place. multiple: lengths are rounded up to a multiple of it."""
     d = df.where(F.size(ids) > 0)
-    d = d.withColumn("_size", F.max(F.size(ids)).over(Window.partitionBy(*batch)))
+    d = d.withColumn("_size", (F.ceil(F.max(F.size(ids)).over(Window.partitionBy(*batch)) / multiple) * multiple).cast("int"))
     labels = F.slice(ids, 2, F.size(ids)) if shift else F.col(ids)
     mask = padded(F.transform(F.col(ids), lambda _: F.lit(1)), F.col("_size"), 0, left)
     return d.withColumn("input_ids", padded(F.col(ids), F.col("_size"), pad, left)).withColumn("attention_mask", mask).withColumn("labels", padded(labels, F.col("_size"), label_pad, left)).drop("_size")
@@ -81,3 +81,15 @@ def prompts(d: DataFrame, keys: list[str], seed: int = 1, weights: dict[str, flo
             chosen = F.when(pick < i / len(options), filled(option)).otherwise(chosen)
         text = F.when(F.col("task") == name, chosen).otherwise(text)
     return d.withColumn("prompt", text)
+
+
+def chunks(d: DataFrame, keys: list[str], ids: str, size: int, least: int, bos: int, eos: int) -> DataFrame:
+    """(*keys, piece, ids): lists cut into pieces of `size` (a rest of at most `least` ids is dropped), BOS before the first piece and EOS after the last one only."""
+    from tonegrid.operators.structure import subsequences
+
+    n = d.withColumn("_n", F.size(ids))
+    cut = subsequences(n.select(*keys, ids, "_n"), [*keys, ids, "_n"], "_n", size, least)
+    last = F.col("last_pos") == F.col("_n") - 1
+    own = F.slice(ids, (F.col("first_pos") + 1).cast("int"), (F.col("last_pos") - F.col("first_pos") + 1).cast("int"))
+    none = F.array().cast("array<int>")
+    return cut.select(*keys, "piece", F.concat(F.when(F.col("piece") == 0, F.array(F.lit(bos))).otherwise(none), own, F.when(last, F.array(F.lit(eos))).otherwise(none)).alias("ids"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tonegrid.config import DEFAULT
 from tonegrid.functions import uniform
-from tonegrid.operators import collate, controls, corrupt, grammar, structure
+from tonegrid.operators import collate, controls, corrupt, grammar, harmony, structure
 from tonegrid.plans import base
 from tonegrid.plans.base import GRID, RAW
 from tonegrid.plans.music import _REMI
@@ -446,3 +446,51 @@ def _prompt_sql() -> str:
 @query(_prompt_sql())
 def prompt_sample(spark, sf):
     return collate.prompts(_n_bars(spark, sf).withColumn("n_beats", F.col("n_bars") * 4), ["score_id"])
+
+
+@query(f"with {_SEQS}, p as (select *, unnest(generate_series(0, n - 17, 256)) f from sq where n > 16) select score_id, seq_id, f // 256 as piece, array_to_string(list_concat(case when f = 0 then [1] else [] end, ids[f + 1:f + 256], case when f + 256 >= n then [2] else [] end), ',') as ids from p")
+def dataset_chunks(spark, sf):
+    d = collate.chunks(_seqs(spark, sf), SEQ, "ids", 256, 16, 1, 2)
+    return d.select(*SEQ, "piece", _TEXT("ids").alias("ids"))
+
+
+@query(f"""with {_SEQS}, a as (select *, (ceil(max(n) over (partition by score_id) / 128.0) * 128)::bigint m from sq) select score_id, seq_id, array_to_string(list_concat(list_transform(range(m - n), lambda i: 0), ids), ',') as input_ids,
+  array_to_string(list_concat(list_transform(range(m - n), lambda i: 0), list_transform(ids, lambda i: 1)), ',') as attention_mask, array_to_string(list_concat(list_transform(range(m - n + 1), lambda i: -100), ids[2:]), ',') as labels from a""")
+def collate_left_multiple(spark, sf):
+    d = collate.collate(_seqs(spark, sf), ["score_id"], "ids", 0, left=True, shift=True, multiple=128)
+    return d.select(*SEQ, *[_TEXT(c).alias(c) for c in ("input_ids", "attention_mask", "labels")])
+
+
+# between notes
+
+_CHORD_SQL = "case k " + " ".join(f"when '{','.join(map(str, s))}' then '{n}'" for n, s in harmony.CHORDS.items()) + " end"
+
+
+@query(f"""with {GRID}, o as (select score_id, track_idx, time, list_sort(list({{'pitch': pitch, 'e': time + duration}}))[1:10] n from gr group by score_id, track_idx, time),
+  c as (select *, array_to_string(list_transform(n, lambda x: x.pitch - n[1].pitch), ',') k from o where len(n) between 3 and 5 and len(list_filter(n, lambda x: abs(x.e - n[1].e) > 4)) = 0 and n[-1].pitch - n[1].pitch <= 24),
+  d as (select *, {_CHORD_SQL} q from c) select score_id, track_idx, time::bigint as time, {harmony.CLASSES!r}[n[1].pitch % 12 + 1] || ':' || q as chord from d where q is not null""")
+def chords(spark, sf):
+    return harmony.chords(base.grid_notes(spark, sf), DEFAULT.tpb)
+
+
+@query()
+def chords_within_offset(spark, sf):
+    return harmony.chords_within(base.grid_notes(spark, sf), DEFAULT.tpb)
+
+
+@query(f"""with {GRID}, a as (select *, lag(time) over w t, lag(pitch) over w p, row_number() over w as ord from gr where not is_drum window w as (partition by score_id, track_idx order by time, duration, pitch, velocity)),
+  b as (select *, t is null or t <> time as fresh from a), c as (select *, case when fresh or abs(pitch - p) > 16 then pitch end st from b),
+  d as (select *, last_value(st ignore nulls) over (partition by score_id, track_idx order by ord rows between unbounded preceding and 1 preceding) o from c)
+  select score_id, track_idx, ord, case when fresh and time - t <= 8 and abs(pitch - o) <= 16 then 'PitchIntervalTime_' || (pitch - o) when not fresh and abs(pitch - p) <= 16 then 'PitchIntervalChord_' || (pitch - p) else 'Pitch_' || pitch end as token from d""")
+def pitch_intervals(spark, sf):
+    return harmony.pitch_intervals(base.grid_notes(spark, sf), DEFAULT.tpb)
+
+
+@query(f"""with {GRID}, a as (select score_id, row_number() over w as ord, time::bigint as time, program, lag(program) over w p from gr window w as (partition by score_id order by time, track_idx, duration, pitch, velocity)) select score_id, ord, time, program from a where p is null or p <> program""")
+def program_changes(spark, sf):
+    return harmony.program_changes(base.grid_notes(spark, sf))
+
+
+@query()
+def tsd_rests_encode(spark, sf):
+    return harmony.encode_tsd_rests(base.grid_notes(spark, sf))
