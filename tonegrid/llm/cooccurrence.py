@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonegrid.llm.hashing import flat
+from tonegrid.llm.records import key_hash
 
 #: Identical baskets of a hot kind meet in so many groups, not in one.
 SALTS = 16
@@ -75,7 +76,7 @@ def pair_counts(df: DataFrame, record: Sequence[str], ids: str) -> DataFrame:
     Rows that come twice with the same record columns count once. Null or empty ids make no record; null ids in a list are left out.
     """
     basket = F.array_sort(F.array_distinct(F.filter(ids, lambda x: x.isNotNull())))
-    d = df.where(F.size(ids) > 0).select(F.xxhash64(*record).alias("_r"), basket.alias("_ids"))
+    d = df.where(F.size(ids) > 0).select(key_hash(record).alias("_r"), basket.alias("_ids"))
     d = d.select(F.xxhash64("_ids").alias("_h"), "_r", "_ids")
     d = d.repartition(F.col("_h"), F.pmod("_r", F.lit(SALTS))).sortWithinPartitions("_h", "_r")
 

@@ -6,10 +6,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tonegrid.llm.records import key_hash
+
 #: A hot term's records are spread over so many partitions.
 SALTS = 32
 #: Distinct terms that one task holds; at more it hands on its counts and begins anew, which changes no sum.
@@ -88,7 +89,7 @@ def of_rows(df: DataFrame, record: Sequence[str], position: str, term: str) -> D
     Rows are partitioned by term (and, for hot terms, by a hash of the record) and ordered by record; each row is compared with the
     row before it, which holds the last record seen. Rows with a null term are left out; null record columns are values of their own.
     """
-    salt = F.pmod(F.xxhash64(*record), F.lit(SALTS)).cast("int")
+    salt = F.pmod(key_hash(record), F.lit(SALTS)).cast("int")
     d = df.where(F.col(term).isNotNull()).select(F.col(term).alias("term"), salt.alias("_salt"), F.struct(*record).alias("_record"), F.col(position).alias("_at"))
     seen = Window.partitionBy("term", "_salt").orderBy("_record", "_at")
     d = d.withColumn("_same", F.lag("_record").over(seen).eqNullSafe(F.col("_record")) & (F.row_number().over(seen) > 1))

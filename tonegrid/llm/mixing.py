@@ -48,9 +48,10 @@ def source_plan(docs: DataFrame, targets: DataFrame, text: str = "text", source:
     sums = named.join(sums, "source", "left").select("source", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), "target_share", "max_repeats")
 
     def fill(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(it, ignore_index=True)
-        if not len(rows):
+        parts = [pdf for pdf in it if len(pdf)]
+        if not parts:
             return
+        rows = pd.concat(parts, ignore_index=True)
         by = rows.set_index("source")
         plan = water_fill(by.n_tokens.to_dict(), by.target_share.to_dict(), by.max_repeats.to_dict())
         for i, name in enumerate(("repeats", "short", "clamped")):

@@ -197,7 +197,7 @@ class Reader:
         gains: dict[Cipher, float] = defaultdict(float)
         for window in set(windows(text)):
             best = max(((x + self.prior(bucket, c), was, c) for x, was, c in self.options(window)), default=None)
-            if best and best[0] > 0 and (best[2][0] == "utf-8" or any(c.isalpha() for c in best[1])):
+            if best and best[0] > 0 and (best[2][0] == "utf-8" or _in_word(window, best[1])):
                 gains[best[2]] += best[0]
         kinds: Counter = Counter()
         for cipher, gain in gains.items():
@@ -215,6 +215,11 @@ class Reader:
         return sorted("<".join(c) for c in found) + ["lost"] * ("�" in text), _runs.sub(restored, padded)[1:-1]
 
 
+def _in_word(window: str, was: str) -> bool:
+    """Whether a reading has letters, and isn't a character on its own, which might as well be a symbol."""
+    return any(c.isalpha() for c in was) and (len(was) > 1 or window[0].isalpha() or window[-1].isalpha())
+
+
 def _kind(cipher: Cipher) -> int:
     return 0 if cipher[0] == "utf-8" else 2 if set(cipher) <= CYRILLIC else 1
 

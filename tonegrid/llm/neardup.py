@@ -76,7 +76,7 @@ def similar_pairs(items: DataFrame, threshold: tuple[int, int] = (3, 5)) -> Data
     threshold (numerator, denominator); (score_a, idx_a) < (score_b, idx_b).
 
     items: kind STRING, k INT (length of a run), score_id BIGINT, idx INT, ids ARRAY<INT>; rows of equal kind, score_id and idx are
-    copies and count once. Items without a run are in no pair. Null ids in a list equal each other; keys must not be null.
+    copies and count once. Items without a run are in no pair. Null ids in a list equal each other; items with a null in their key are left out.
 
     Items with the same set of runs form a class, and only classes are compared, so copies make no work; least-hash signatures bring
     classes that share a band together, and every such pair's similarity is then computed exactly from the two whole sets. A pair is
@@ -105,7 +105,7 @@ def similar_pairs(items: DataFrame, threshold: tuple[int, int] = (3, 5)) -> Data
                 sets = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(signed(h)))
                 yield pa.RecordBatch.from_arrays([part.column(0), sets], ["cls", "runs"])
 
-    items = items.select("kind", "k", "score_id", "idx", "ids")
+    items = items.select("kind", "k", "score_id", "idx", "ids").where("kind is not null and k is not null and score_id is not null and idx is not null")
     signed_items = materialize(items.mapInArrow(signatures, "kind string, score_id bigint, idx int, cls bigint, n int, bands array<bigint>"))
     members = signed_items.select("kind", "cls", "score_id", "idx").distinct()
     bands = signed_items.select("cls", F.explode("bands").alias("band"))

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tonegrid.llm.records import key_hash
+
 #: Items that are packed together: rows are drawn from so many items, and each such lot leaves at most about one row partly filled.
 LOT = 2048
 
@@ -117,7 +119,7 @@ def fill_rows(df: DataFrame, record: Sequence[str], size: str, configs: Sequence
     names = [f"r{i}" for i in range(len(record))]
     items = df.where(f"{size} > 0").select(*[F.col(c).alias(n) for c, n in zip(record, names)], F.col(size).cast("bigint").alias("n"))
     each = F.array(*[F.struct(F.lit(name).alias("config"), F.lit(capacity).alias("capacity")) for name, capacity in configs])
-    items = items.withColumn("lot", F.pmod(F.xxhash64(*names), F.lit(lots))).withColumn("c", F.explode(each)).select("c.*", "lot", *names, "n")
+    items = items.withColumn("lot", F.pmod(key_hash(names), F.lit(lots))).withColumn("c", F.explode(each)).select("c.*", "lot", *names, "n")
 
     def rows(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n", *names], ascending=False, ignore_index=True)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -13,7 +13,10 @@ def once(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     Rows of a key meet in one partition, sorted, and all but the first are dropped; null is a key value of its own.
     """
-    from pyspark.sql import Window
-
     keys = list(keys)
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*keys))).where("_n = 1").drop("_n")
+    return df.withColumn("_once_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*keys))).where("_once_n = 1").drop("_once_n")
+
+
+def key_hash(keys: Sequence[str]) -> Column:
+    """A 64-bit name of a key; a null is told apart from other values and from nulls of other columns."""
+    return F.xxhash64(*[c for k in keys for c in (F.col(k).isNull(), F.col(k))])

@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonegrid.llm.hashing import flat, mix, run_hashes, signed
+from tonegrid.llm.hashing import flat, run_hashes, signed
+from tonegrid.llm.records import key_hash
 
 #: Rows that are hashed at a time.
 ROWS = 1000
@@ -142,7 +143,7 @@ def shared_spans(df: DataFrame, record: Sequence[str], ids: str, least: int = 40
     record = list(record)
     k = (least + 1) // 2
     width = least - k + 1
-    d = df.where(F.size(ids) >= least).select(F.xxhash64(*record).alias("rec"), F.col(ids).alias("ids"), *record)
+    d = df.where(F.size(ids) >= least).select(key_hash(record).alias("rec"), F.col(ids).alias("ids"), *record)
 
     def anchors(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
