@@ -4,7 +4,6 @@ import subprocess
 import sys
 from pathlib import Path
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,8 +42,7 @@ def test_bad_files(data):
 
 
 def test_files(spark, tmp_path):
-    rows = pd.DataFrame([{c: None for c in smf.COLUMNS} | e for e in EVENTS], columns=smf.COLUMNS).astype(object)
-    events = spark.createDataFrame([("a.mid", 480, *r) for r in rows.where(rows.notna(), None).itertuples(index=False)], f"path string, tpq int, {smf.EVENT}")
+    events = spark.createDataFrame([("a.mid", 480, *[e.get(c) for c in smf.COLUMNS]) for e in EVENTS], f"path string, tpq int, {smf.EVENT}")
     for r in smf.write_events(events).collect():
         (tmp_path / r.path).write_bytes(bytes(r.content))
     (tmp_path / "b.mid").write_bytes(b"junk")

@@ -171,13 +171,11 @@ def read_events(files: DataFrame) -> DataFrame:
             for path, content in zip(pdf["path"], pdf["content"]):
                 try:
                     form, tpq, events = parse(bytes(content or b""))
-                    made = pd.DataFrame(events or [{}], columns=COLUMNS).astype(object)
                     head = {"path": path, "format": form, "tpq": tpq, "error": None}
                 except BadFile as e:
-                    made, head = pd.DataFrame([{}], columns=COLUMNS).astype(object), {"path": path, "format": None, "tpq": None, "error": str(e)}
-                for i, (c, v) in enumerate(head.items()):
-                    made.insert(i, c, v)
-                yield made.where(made.notna(), None)
+                    events, head = [], {"path": path, "format": None, "tpq": None, "error": str(e)}
+                made = [head | e for e in events or [{}]]
+                yield pd.DataFrame({c: pd.Series([e.get(c) for e in made], dtype=object) for c in [*head, *COLUMNS]})
 
     return files.select("path", "content").mapInPandas(rows, f"{FILE}, {EVENT}")
 

@@ -22,9 +22,9 @@ def distinct_stream(events: DataFrame, late: str = "7 days") -> DataFrame:
     return d.dropDuplicatesWithinWatermark(["score_id", "track_idx", "ord"])
 
 
-def pair_stream(events: DataFrame, idle: str = "10 minutes") -> DataFrame:
-    """score_id, track_idx, channel, pitch, tick, duration: notes as soon as their note-off arrives; the queue of open note-ons of a key is its state. A key that stays
-    silent for `idle` gives up its open notes with a duration of 1. Events of a key must arrive in the order of ord, as a file's do; those of a micro-batch are sorted."""
+def pair_stream(events: DataFrame, idle: str = "7 days") -> DataFrame:
+    """score_id, track_idx, channel, pitch, tick, duration: notes as soon as their note-off arrives; the queue of open note-ons of a key is its state. A key for which
+    nothing was loaded until the watermark is `idle` further gives up its open notes with a duration of 1. Rows without loaded_at are left out. Events of a key must arrive in the order of ord, as a file's do; those of a micro-batch are sorted."""
     key = ["score_id", "track_idx", "channel", "pitch"]
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
 
@@ -43,9 +43,11 @@ def pair_stream(events: DataFrame, idle: str = "10 minutes") -> DataFrame:
                     start = open_.pop(0)
                     out.append((start, max(1, int(tick) - start)))
             state.update((open_,))
-            state.setTimeoutDuration(idle_ms)
+            state.setTimeoutTimestamp(max(int(batch["at"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + idle_ms)
         yield pd.DataFrame([(*k, *x) for x in out], columns=[*key, "tick", "duration"])
 
     on = (F.col("event_type") == "NoteOn") & (F.coalesce("velocity", F.lit(0)) > 0)
-    d = events.where("event_type in ('NoteOn', 'NoteOff') and tick is not null and pitch is not null and channel is not null").select(*key, "ord", "tick", on.alias("on"))
-    return d.groupBy(*key).applyInPandasWithState(step, "score_id long, track_idx int, channel int, pitch int, tick long, duration long", "open array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    if "at" not in events.columns:
+        events = events.withColumn("at", F.col("loaded_at").cast("timestamp")).withWatermark("at", idle)
+    d = events.where("event_type in ('NoteOn', 'NoteOff') and tick is not null and pitch is not null and channel is not null and at is not null").select(*key, "ord", "tick", on.alias("on"), "at")
+    return d.groupBy(*key).applyInPandasWithState(step, "score_id long, track_idx int, channel int, pitch int, tick long, duration long", "open array<long>", "append", GroupStateTimeout.EventTimeTimeout)
