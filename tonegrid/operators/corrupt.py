@@ -156,3 +156,33 @@ def merge_by_bar(rows: DataFrame, score: str, track: str, bar_id: int) -> DataFr
     heads = rows.where(F.col("id") == bar_id).select(score, "bar").distinct().select(score, "bar", F.lit(0).alias("_k"), F.lit(None).cast("int").alias(track), F.lit(None).cast("bigint").alias("pos"), F.lit(bar_id).alias("id"))
     place = Window.partitionBy(score).orderBy("bar", "_k", track, "pos")
     return d.unionByName(heads).select(score, F.row_number().over(place).cast("bigint").alias("ord"), "id")
+
+
+def with_beats(rows: DataFrame, keys: list[str], first: int, last: int, per: int) -> DataFrame:
+    """Rows with bar get beat: 10 * bar + the beat in the bar (from 1, of the latest position id first..last; 0 before any), `per` positions a beat."""
+    upto = Window.partitionBy(*keys, "bar").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    beat = F.max(F.when(F.col("id").between(first, last), F.floor((F.col("id") - first) / per) + 1)).over(upto)
+    return rows.withColumn("beat", F.col("bar") * 10 + F.coalesce(beat, F.lit(0)))
+
+
+def drop_units(rows: DataFrame, keys: list[str], unit: str, share: float, seed: int = 1) -> DataFrame:
+    """Rows without the units (bars, beats) whose hash is below share; unit 0 stays."""
+    return rows.where((F.col(unit) == 0) | (uniform(seed, *keys, unit) >= share))
+
+
+def permute_within(rows: DataFrame, keys: list[str], outer: str, unit: str, base: int, seed: int = 1) -> DataFrame:
+    """(*keys, ord, id): units in the order of their hash inside their outer unit; a unit that is a multiple of base (what stands before) is first."""
+    place = Window.partitionBy(*keys).orderBy(outer, F.when(F.col(unit) % base > 0, uniform(seed, *keys, unit)).otherwise(-1), unit, "pos")
+    return rows.select(*keys, F.row_number().over(place).cast("bigint").alias("ord"), "id")
+
+
+def drop_aligned(rows: DataFrame, score: str, unit: str, share: float, seed: int = 1) -> DataFrame:
+    """Rows without the units whose hash of score and unit is below share: the same bars of all tracks."""
+    return rows.where((F.col(unit) == 0) | (uniform(seed, score, unit) >= share))
+
+
+def drop_notes(rows: DataFrame, keys: list[str], starts: tuple[int, int], own: tuple[int, int], share: float, seed: int = 1) -> DataFrame:
+    """Rows without the notes (an id within `starts` and those within `own` up to the next start) whose hash is below share; adds note, their number."""
+    upto = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    d = rows.withColumn("note", F.sum(F.col("id").between(*starts).cast("bigint")).over(upto))
+    return d.where((F.col("note") == 0) | ~F.col("id").between(*own) | (uniform(seed, *keys, "note") >= share))
