@@ -25,7 +25,7 @@ def note_events(raw: DataFrame) -> DataFrame:
     return e.select("score_id", "track_idx", "channel", "pitch", "ord", "tick", velocity.alias("velocity"), on.alias("on"))
 
 
-def pair_notes(raw: DataFrame, block: int = BLOCK) -> DataFrame:
+def pair_notes(raw: DataFrame, block: int = BLOCK, velocity: bool = True) -> DataFrame:
     """Pairs note-ons and note-offs of the same score, track, channel and pitch, first with first in ord order.
 
     A note-off with no open note-on is ignored; a note-on without a note-off lasts one tick, as does one closed at its own tick.
@@ -34,11 +34,12 @@ def pair_notes(raw: DataFrame, block: int = BLOCK) -> DataFrame:
     of each block only its sum, its minimum and its number of ons go on to the next, and only notes that end in another block
     than theirs are shuffled again, so that one hot key isn't one task.
 
-    Result: score_id, track_idx, channel, pitch, ord, tick, duration (>= 1), velocity of each note-on once.
+    Result: score_id, track_idx, channel, pitch, ord, tick, duration (>= 1), velocity (null unless asked for) of each note-on once.
     Null key columns form their own group. Repeated rows of (score_id, track_idx, ord) count once.
     """
     keys = ["score_id", "track_idx", "channel", "pitch"]
-    e = note_events(raw).select(*[F.coalesce(F.col(k), F.lit(NONE)).alias(k) for k in keys], "ord", "tick", "velocity", "on")
+    e = note_events(raw) if velocity else note_events(raw).withColumn("velocity", F.lit(None).cast("int"))
+    e = e.select(*[F.coalesce(F.col(k), F.lit(NONE)).alias(k) for k in keys], "ord", "tick", "velocity", "on")
     e = e.withColumn("_b", F.floor(F.col("ord") / F.lit(block)))
     by_block = Window.partitionBy(*keys, "_b").orderBy("ord")
     e = e.withColumn("_last", F.lag("ord").over(by_block)).where("_last is null or _last < ord").drop("_last")
@@ -46,10 +47,12 @@ def pair_notes(raw: DataFrame, block: int = BLOCK) -> DataFrame:
     e = e.withColumn("_sum", F.sum("on").over(upto)).withColumn("_ons", F.sum((F.col("on") > 0).cast("int")).over(upto))
     e = e.withColumn("_min", F.min("_sum").over(upto)).withColumn("_past", F.min("_sum").over(above))
 
-    tail = e.groupBy(*keys, "_b").agg(F.max_by("_sum", "ord").alias("_sum"), F.max("_ons").alias("_ons"), F.min("_sum").alias("_min"))
+    tail = e.groupBy(*keys, "_b").agg(F.max_by("_sum", "ord").alias("_sum"), F.max("_ons").alias("_ons"), F.min("_sum").alias("_min"), F.max(F.struct("tick", "velocity")).alias("_x"))
     earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     tail = tail.withColumn("_s0", F.sum("_sum").over(earlier)).withColumn("_o0", F.sum("_ons").over(earlier))
-    tail = tail.withColumn("_m0", F.min(F.coalesce("_s0", F.lit(0)) + F.col("_min")).over(earlier)).where("_s0 is not null").select(*keys, "_b", "_s0", "_o0", "_m0")
+    tail = tail.withColumn("_m0", F.min(F.coalesce("_s0", F.lit(0)) + F.col("_min")).over(earlier))
+    # _x is there so that both sides need the same columns and one shuffle of the events serves both
+    tail = tail.where("_s0 is not null and _x.tick is not null" + " and _x.velocity is not null" * velocity).select(*keys, "_b", "_s0", "_o0", "_m0")
     e = e.join(tail, [*keys, "_b"], "left")
     s0, o0, m0 = F.coalesce("_s0", F.lit(0)), F.coalesce("_o0", F.lit(0)), F.least(F.lit(0), F.coalesce("_m0", F.lit(0)))
     lowest, past = F.least(m0, s0 + F.col("_min")), F.least(m0, F.coalesce(s0 + F.col("_past"), F.lit(0)))

@@ -13,7 +13,7 @@ from tonegrid.session import table
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periods of sound and the gaps between them, for each track and channel of raw_events."""
-    notes = pair_notes(table(spark, sf_dir, "raw_events"))
+    notes = pair_notes(table(spark, sf_dir, "raw_events"), velocity=False)
     notes = notes.select("score_id", "track_idx", "channel", "tick", (F.col("tick") + F.col("duration")).alias("stop"))
     found = periods_and_gaps(notes, ["score_id", "track_idx", "channel"], "tick", "stop")
     return found.select("score_id", "track_idx", "channel", "kind", F.col("tick").alias("start_tick"), F.col("stop").alias("end_tick"))
