@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,7 +22,9 @@ def local_session(cpus: int | str = "*", **conf: str) -> SparkSession:
         "spark.driver.memory": "8g",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     } | {k.replace("__", "."): v for k, v in conf.items()}
-    return SparkSession.builder.master(f"local[{cpus}]").appName("tonegrid").config(map=settings).getOrCreate()
+    spark = SparkSession.builder.master(f"local[{cpus}]").appName("tonegrid").config(map=settings).getOrCreate()
+    ship(spark)
+    return spark
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,10 +34,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     differently; a window over it then sees parts of its groups. Wrong results were measured, so that shortcut is turned off.
     """
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 _own: dict[str, str] = {}
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the Python workers of all executors, once an application, so that they needn't find it on their own paths."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    root = Path(__file__).parent
+    folder = tempfile.mkdtemp(prefix="tonegrid-")  # Spark copies the archive from the driver to the executors
+    atexit.register(shutil.rmtree, folder, True)
+    with zipfile.ZipFile(f"{folder}/tonegrid.zip", "w") as archive:
+        for path in sorted(root.rglob("*.py")):
+            archive.write(path, path.relative_to(root.parent))
+    context.addPyFile(f"{folder}/tonegrid.zip")
 
 
 def shared_folder(spark: SparkSession) -> str:
