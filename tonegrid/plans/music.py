@@ -314,7 +314,9 @@ def midilike_encode(spark, sf):
     return grammar.encode_midilike(base.grid_notes(spark, sf))
 
 
-@query()
+@query(f"""with {GRID}, o as (select *, row_number() over (partition by score_id, track_idx, is_drum, pitch order by time, nord) k from grn),
+  f as (select score_id, track_idx, is_drum, pitch, time + duration as e, row_number() over (partition by score_id, track_idx, is_drum, pitch order by time + duration, nord) k from grn)
+  select score_id, track_idx, is_drum, time::bigint as time, (e - time)::bigint as duration, pitch, velocity::bigint as velocity from o join f using (score_id, track_idx, is_drum, pitch, k)""")
 def midilike_decode(spark, sf):
     return grammar.decode_midilike(grammar.encode_midilike(base.grid_notes(spark, sf)))
 
