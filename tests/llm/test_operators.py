@@ -16,6 +16,14 @@ RECORD = ["score_id", "seq_id"]
 SCHEMA = "score_id bigint, seq_id int, ids array<int>, n string, rec string, route int"
 
 
+@pytest.fixture(autouse=True, params=[10_000, 7])
+def batch_rows(request, spark):
+    """Python sees whole partitions in one batch, or few rows at a time: groups then go on from batch to batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(request.param))
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def records(spark, rows):
     """rows: (score_id, seq_id, ids); each comes twice, with extra columns whose names the operators use inside."""
     return spark.createDataFrame([(*r, "x", "y", i) for i, r in enumerate(rows * 2)], SCHEMA)
