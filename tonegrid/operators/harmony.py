@@ -115,3 +115,28 @@ def encode_tsd_rests(notes: DataFrame, config: GridConfig = DEFAULT) -> DataFram
     rests = F.transform(greedy(F.col("time") - F.col("_end"), [n for n, _ in config.rests]), lambda n: _token("Rest", span_name(n, config.rests)))
     shifts = F.transform(greedy(F.col("time") - F.col("_last"), [n for n, _ in config.durations]), lambda n: _token("TimeShift", span_name(n, config.durations)))
     return _placed(d, TRACK, NOTE_ORDER, F.concat(F.when(rest, rests).otherwise(shifts), F.array(*_note_tokens(config))))
+
+
+def decode_tsd_rests(tokens: DataFrame, config: GridConfig = DEFAULT) -> DataFrame:
+    """Notes of encode_tsd_rests() tokens. A rest begins at the latest note end so far, which depends on the rests before it; but after a rest all earlier
+    notes are over, so rests cut a track into stretches whose length is known from themselves, and their starts are running sums. No fold is needed."""
+    from tonegrid.operators.grammar import _kind, _length, _value
+
+    along = Window.partitionBy(*TRACK).orderBy("ord")
+    upto = along.rowsBetween(Window.unboundedPreceding, 0)
+    rest = _kind() == "Rest"
+    d = tokens.withColumn("_cut", (rest & ~F.coalesce(F.lag(rest).over(along), F.lit(False))).cast("bigint")).withColumn("_part", F.sum("_cut").over(upto))
+    d = d.withColumn("_rest", F.when(rest, _length(_value(), config)).otherwise(0))
+    in_part = Window.partitionBy(*TRACK, "_part").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_at", F.sum(F.when(_kind() == "TimeShift", _length(_value(), config)).otherwise(0)).over(in_part))
+    for i, kind in ((1, "Velocity"), (2, "Duration")):
+        ahead = F.lead("token", i).over(along)
+        d = d.withColumn(f"_{kind}", F.when(F.substring_index(ahead, "_", 1) == kind, F.substring_index(ahead, "_", -1)))
+    note = _kind().isin("Pitch", "PitchDrum") & F.col("_Velocity").isNotNull() & F.col("_Duration").isNotNull()
+    d = d.withColumn("_long", F.when(note, _length(F.col("_Duration"), config)))
+    parts = d.groupBy(*TRACK, "_part").agg(F.sum("_rest").alias("_rest"), F.coalesce(F.max(F.col("_at") + F.col("_long")), F.lit(0)).alias("_end"))
+    order = Window.partitionBy(*TRACK).orderBy("_part")
+    start = F.sum("_rest").over(order) + F.coalesce(F.sum("_end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(*TRACK, "_part", start.alias("_start"))
+    d = d.where(note).join(parts, [*TRACK, "_part"])
+    return d.select(*TRACK, (_kind() == "PitchDrum").alias("is_drum"), (F.col("_start") + F.col("_at")).alias("time"), F.col("_long").alias("duration"), _value().cast("int").alias("pitch"), F.col("_Velocity").cast("bigint").alias("velocity"))

@@ -384,7 +384,11 @@ def mmm_encode(spark, sf):
     return grammar.encode_mmm(base.grid_notes(spark, sf))
 
 
-@query()
+@query(f"""with {NOTES}, a as (select score_id, track_idx, coalesce(t.is_drum, false) is_drum, round_even(n.time * 220 / s.tpq, 0)::bigint as time, greatest(1, round_even(n.duration * 220 / s.tpq, 0)::bigint) as duration, n.pitch, 4 * greatest(1, (n.velocity + 3) // 4) - 1 as velocity
+  from nt n join sc s using (score_id) left join tr t using (score_id, track_idx)), b as (select *, round_even(time / 27.5::double, 0)::bigint c from a where (is_drum and pitch between 27 and 88) or (not is_drum and pitch between 21 and 109)),
+  d as (select *, row_number() over w as o, lag(c) over w lc from b window w as (partition by score_id, track_idx order by c, time, duration, pitch, velocity))
+  {_places(f'''select score_id, track_idx, o, list_concat(list_transform(range((c // 32 - coalesce(lc // 32, -1))::bigint), lambda i: 'Bar_None'), ['Position_' || (c % 32), 'MicroTiming_' || greatest(ceil((greatest(-55.0::double, least(55.0::double, time - c * 27.5::double)) + 55.0::double) / {110 / 109!r}::double - 0.5::double), 0)::bigint,
+    case when is_drum then 'PitchDrum_' else 'Pitch_' end || pitch, 'Velocity_' || velocity, 'Duration_' || duration]) tokens from d''', "o")}""")
 def pertok_encode(spark, sf):
     fine = DEFAULT.__class__(beat_res=((0, 4, 220),))
     d = base.notes(spark, sf).join(base.tracks(spark, sf).select("score_id", "track_idx", "program", "is_drum"), ["score_id", "track_idx"], "left").withColumn("is_drum", F.coalesce("is_drum", F.lit(False)))

@@ -494,3 +494,8 @@ def program_changes(spark, sf):
 @query()
 def tsd_rests_encode(spark, sf):
     return harmony.encode_tsd_rests(base.grid_notes(spark, sf))
+
+
+@query(f"with {GRID} select score_id, track_idx, is_drum, {_N} from gr")
+def tsd_rests_decode(spark, sf):
+    return harmony.decode_tsd_rests(harmony.encode_tsd_rests(base.grid_notes(spark, sf)))
