@@ -5,6 +5,7 @@ import datetime
 import pytest
 
 import __spark_entry__ as entry
+from tonegrid.operators import events
 
 RAW = "score_id bigint, track_idx int, ord bigint, tick bigint, event_type string, channel int, pitch int, velocity int, controller int, value int, program int, usec_per_quarter int, numerator int, denominator int, key int, scale int, text binary, loaded_at timestamp"
 AT = datetime.datetime(2023, 1, 1)
@@ -35,3 +36,18 @@ def test_all_classes_are_merged(spark, tables):
     sf = tables([(1, t, 8 * t, 4, 60) for _, t in programs], programs)
     got = {r.track_idx: (r["class"], r.program) for r in entry.queries()["merge_per_class_all"](spark, sf).collect()}
     assert got == {0: (0, 0), 1: (1, 8), 2: (3, 24), 3: (5, 40), 4: (7, 56), 5: (5, 40), 6: (16, -1)}
+
+
+def test_errors_are_counted_over_all_tokens(spark, tables):
+    notes = [(1, 0, 8 * i, 4, 60) for i in range(60) for _ in range(2)] + [(1, 1, 8 * i, 4, 60) for i in range(60)]
+    sf = tables(notes, {(1, 0): 0, (1, 1): 9})
+    rows = {r.track_idx: (r.n_rows, r.n_errors) for r in entry.queries()["cpword_errors_all"](spark, sf).collect()}
+    bars, onsets = 15, 60
+    assert rows == {0: (bars + onsets + 120, 60), 1: (bars + onsets + 60, 0)}
+    assert sorted(map(tuple, entry.queries()["midilike_errors_all"](spark, sf).collect())) == [(1, 0, 0, 0), (1, 1, 0, 0)]
+
+
+def test_damaged_tokens_have_errors(spark):
+    lines = ["NoteOn_60", "NoteOff_60", "NoteOff_60", "NoteOn_61", "DrumOff_61", "DrumOn_40"]
+    d = spark.createDataFrame([(1, 0, i, x) for i, x in enumerate(lines)], "score_id bigint, track_idx int, ord bigint, token string")
+    assert [tuple(r) for r in events.midilike_errors(d).collect()] == [(1, 0, 2, 2)]

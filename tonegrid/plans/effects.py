@@ -88,6 +88,16 @@ def midilike_errors(spark, sf):
     return events.midilike_errors(_broken(grammar.encode_midilike(base.grid_notes(spark, sf)), ["score_id", "track_idx"]))
 
 
+def _unbroken(name: str) -> str:
+    """The SQL of a query of errors over all tokens."""
+    return SQL[name].replace(f" where {_u(11, 'score_id', 'track_idx', 'ord')} >= 0.1", "", 1)
+
+
+@query(_unbroken("midilike_errors"))
+def midilike_errors_all(spark, sf):
+    return events.midilike_errors(grammar.encode_midilike(base.grid_notes(spark, sf)))
+
+
 @query(f"""with t as (select *, split_part(bar, '_', 2)::bigint * 1000 + split_part(position, '_', 2)::bigint a from {_inner('octuple_encode')}), u as (select *, coalesce(a < lag(a) over (partition by score_id, track_idx order by ord), false) x, row_number() over (partition by score_id, track_idx, a, pitch order by ord) > 1 y from t)
   select score_id, track_idx, count(*) as n_rows, sum(case when x or y then 1 else 0 end)::bigint as n_errors from u group by score_id, track_idx""")
 def octuple_errors(spark, sf):
@@ -102,6 +112,11 @@ def cpword_errors(spark, sf):
     return events.cpword_errors(_broken(grammar.encode_cpword(base.grid_notes(spark, sf)), ["score_id", "track_idx"]))
 
 
+@query(_unbroken("cpword_errors"))
+def cpword_errors_all(spark, sf):
+    return events.cpword_errors(grammar.encode_cpword(base.grid_notes(spark, sf)))
+
+
 # beats of a bar: what stands between two positions that are multiples of 8 (ids 10..41 are positions 0..31)
 
 _BEAT = "*, bar * 10 + coalesce(max(case when id between 10 and 41 then (id - 10) // 8 + 1 end) over (partition by score_id, seq_id, bar order by pos), 0) beat"
