@@ -51,3 +51,11 @@ def test_damaged_tokens_have_errors(spark):
     lines = ["NoteOn_60", "NoteOff_60", "NoteOff_60", "NoteOn_61", "DrumOff_61", "DrumOn_40"]
     d = spark.createDataFrame([(1, 0, i, x) for i, x in enumerate(lines)], "score_id bigint, track_idx int, ord bigint, token string")
     assert [tuple(r) for r in events.midilike_errors(d).collect()] == [(1, 0, 2, 2)]
+
+
+def test_marks_of_records_without_tokens(spark, tmp_path):
+    rows = [(1, 0, [4, 10, 42], None, False, AT), (1, 1, [1500, 4, 10], None, True, AT), (1, 2, [4, 99], ["Bar_None", "TimeShift_x"], None, AT), (1, 2, [4, 99], ["Bar_None", "TimeShift_x"], None, AT + datetime.timedelta(1)), (1, 3, None, None, None, AT)]
+    spark.createDataFrame(rows, "score_id bigint, seq_id int, ids array<int>, tokens array<string>, ids_encoded boolean, loaded_at timestamp").write.parquet(f"{tmp_path}/token_file.parquet")
+    spark.createDataFrame([("Bar_None", 4), ("Position_0", 10), ("Pitch_21", 42)], "token string, id int").write.parquet(f"{tmp_path}/vocab.parquet")
+    got = sorted(map(tuple, entry.queries()["structure_marks_all"](spark, str(tmp_path)).collect()))
+    assert got == [(1, 0, 0, "bar"), (1, 0, 1, "beat"), (1, 0, 1, "time"), (1, 0, 2, "note"), (1, 1, 1, "bar"), (1, 1, 2, "beat"), (1, 1, 2, "time"), (1, 2, 0, "bar"), (1, 2, 1, "time")]

@@ -320,6 +320,21 @@ def structure_marks(spark, sf):
     return corrupt.structure_marks(rows, SEQ)
 
 
+@query("""with t as (select score_id, seq_id, ids, tokens from (select *, row_number() over (partition by score_id, seq_id order by case when len(tokens) > 0 then 0 else 1 end, loaded_at) n from token_file) where n = 1),
+  p as (select score_id, seq_id, unnest(range(greatest(coalesce(len(ids), 0), coalesce(len(tokens), 0)))) pos, unnest(ids) id, unnest(tokens) token from t), r as (select score_id, seq_id, pos, coalesce(p.token, v.token) token from p left join vocab v on v.id = p.id),
+  q as (select *, split_part(token, '_', 1) k from r) select score_id, seq_id, pos, 'bar' as mark from q where k = 'Bar' union all select score_id, seq_id, pos, 'beat' from q where token = 'Position_0'
+  union all select score_id, seq_id, pos, 'note' from q where k in ('Pitch', 'PitchDrum') union all select score_id, seq_id, pos, 'time' from q where k in ('Position', 'TimeShift')""")
+def structure_marks_all(spark, sf):
+    """Marks of every record: where tokens are missing, those of its ids; learned merges, which vocab doesn't have, get no mark."""
+    from pyspark.sql import Window
+
+    first = Window.partitionBy(*SEQ).orderBy(F.coalesce(F.size("tokens") > 0, F.lit(False)).desc(), "loaded_at")
+    d = table(spark, sf, "token_file").select(*SEQ, F.coalesce("ids", F.array().cast("array<int>")).alias("id"), F.coalesce("tokens", F.array().cast("array<string>")).alias("token"), F.row_number().over(first).alias("_n")).where("_n = 1")
+    rows = d.select(*SEQ, F.posexplode(F.arrays_zip("id", "token")).alias("pos", "x")).select(*SEQ, F.col("pos").cast("bigint").alias("pos"), "x.*")
+    names = table(spark, sf, "vocab").select("id", F.col("token").alias("name"))
+    return corrupt.structure_marks(rows.join(F.broadcast(names), "id", "left").select(*SEQ, "pos", F.coalesce("token", "name").alias("token")), SEQ)
+
+
 _MARKS = {"bar": [4], "beat": [10], "note": list(range(42, 131))}
 
 
