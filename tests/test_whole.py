@@ -59,3 +59,11 @@ def test_marks_of_records_without_tokens(spark, tmp_path):
     spark.createDataFrame([("Bar_None", 4), ("Position_0", 10), ("Pitch_21", 42)], "token string, id int").write.parquet(f"{tmp_path}/vocab.parquet")
     got = sorted(map(tuple, entry.queries()["structure_marks_all"](spark, str(tmp_path)).collect()))
     assert got == [(1, 0, 0, "bar"), (1, 0, 1, "beat"), (1, 0, 1, "time"), (1, 0, 2, "note"), (1, 1, 1, "bar"), (1, 1, 2, "beat"), (1, 1, 2, "time"), (1, 2, 0, "bar"), (1, 2, 1, "time")]
+
+
+def test_the_whole_vocabulary_is_merged(spark, tmp_path):
+    names = [(f"T_{i}", i) for i in range(150)] + [(f"<extra_id_{i}>", 200 + i) for i in (0, 1, 3)]
+    spark.createDataFrame(names, "token string, id int").write.parquet(f"{tmp_path}/vocab.parquet")
+    spark.createDataFrame([(["T_149", "new", None],)], "tokens array<string>").write.parquet(f"{tmp_path}/token_file.parquet")
+    assert sorted(map(tuple, entry.queries()["merge_vocab_all"](spark, str(tmp_path)).collect())) == sorted([*names, ("new", 204)])
+    assert sorted(map(tuple, entry.queries()["sentinel_discovery_all"](spark, str(tmp_path)).collect())) == [("<extra_id_0>", 200), ("<extra_id_1>", 201)]

@@ -450,6 +450,14 @@ def merge_vocab(spark, sf):
     return collate.merge_vocabularies(text, music)
 
 
+@query("""with n as (select distinct token from token_file, unnest(tokens) u(token) where token is not null and token not in (select token from vocab))
+  select token, id::bigint as id from vocab union all select token, (select max(id) from vocab) + row_number() over (order by token) from n""")
+def merge_vocab_all(spark, sf):
+    """The whole of vocab keeps its ids."""
+    music = table(spark, sf, "token_file").select(F.explode("tokens").alias("token")).where("token is not null").distinct()
+    return collate.merge_vocabularies(table(spark, sf, "vocab").select("token", "id"), music)
+
+
 @query("with v as (select '<extra_id_' || (id % 60 + case when id % 60 > 40 then 1 else 0 end) || '>' as token, min(id) as id from vocab group by 1), w as (select *, regexp_extract(token, '([0-9]+)', 1)::bigint i from v), x as (select *, row_number() over (order by i) - 1 k from w) select token, id from x where i = k")
 def sentinel_discovery(spark, sf):
     i = F.col("id") % 60
@@ -457,6 +465,12 @@ def sentinel_discovery(spark, sf):
     return collate.sentinels(v.groupBy("token").agg(F.min("id").alias("id")))
 
 
+@query("with w as (select token, id, try_cast(regexp_extract(token, '^<extra_id_([0-9]+)>$', 1) as bigint) i from vocab), x as (select *, row_number() over (order by i) - 1 k from w where i is not null) select token, id from x where i = k")
+def sentinel_discovery_all(spark, sf):
+    """Over vocab's own names and ids; a vocab without sentinels gives no rows."""
+    return collate.sentinels(table(spark, sf, "vocab").select("token", "id"))
+
+
 def _prompt_sql() -> str:
     names = list(collate.PROMPTS)
     task = "case " + " ".join(f"when u < {(i + 1) / len(names)!r} then '{t}'" for i, t in enumerate(names[:-1])) + f" else '{names[-1]}' end"
