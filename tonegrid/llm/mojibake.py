@@ -27,9 +27,12 @@ NEEDED = (1.5, 4.0, 10.0)
 REACH = 25.0
 #: The least share of windows that any cipher is taken to have.
 RARE = 1e-3
+#: The share of a source's windows from which on a cipher is frequent there, so that readings without letters count too.
+FREQUENT = 1e-2
 SMOOTH = 0.5
 
 _runs = re.compile("[^\x00-\x7f]+")
+_controls = re.compile("[\x80-\x9f]")
 _repeats = re.compile(r"(.{1,9}?)\1{3,}", re.S)
 _LETTERS = [bytes([b]) for b in range(256)]
 DECODE = {p: [b.decode(p, "ignore") or chr(i) for i, b in enumerate(_LETTERS)] for p in PAGES}  # an unused byte passes as a control character
@@ -197,14 +200,15 @@ class Reader:
         gains: dict[Cipher, float] = defaultdict(float)
         for window in set(windows(text)):
             best = max(((x + self.prior(bucket, c), was, c) for x, was, c in self.options(window)), default=None)
-            if best and best[0] > 0 and (best[2][0] == "utf-8" or _in_word(window, best[1])):
+            if best and best[0] > 0 and (best[2][0] == "utf-8" or _in_word(window, best[1]) or self.prior(bucket, best[2]) >= math.log(FREQUENT)):
                 gains[best[2]] += best[0]
         kinds: Counter = Counter()
         for cipher, gain in gains.items():
             kinds[_kind(cipher)] += gain
         found = {c for c in gains if kinds[_kind(c)] >= NEEDED[_kind(c)]}
         if not found:
-            return (["lost"], text) if "�" in text else None
+            marks = _marks(text, text)
+            return (marks, text) if marks else None
 
         def restored(m: re.Match) -> str:
             window = _window(padded, m.start(), m.end())
@@ -212,7 +216,13 @@ class Reader:
             return (undo(m.group(), cipher) or m.group()) if x > 0 else m.group()
 
         padded = f" {text} "
-        return sorted("<".join(c) for c in found) + ["lost"] * ("�" in text), _runs.sub(restored, padded)[1:-1]
+        mended = _runs.sub(restored, padded)[1:-1]
+        return sorted("<".join(c) for c in found) + _marks(text, mended), mended
+
+
+def _marks(text: str, restored: str) -> list[str]:
+    """What shows a garbled text by itself: U+FFFD, and controls U+0080 to U+009F that no cipher restored."""
+    return ["lost"] * ("�" in text) + ["control"] * bool(_controls.search(restored))
 
 
 def _in_word(window: str, was: str) -> bool:
@@ -233,7 +243,8 @@ def repair(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     bigrams of those readings, and how often each source used each cipher (maximization). Ciphers are the pairs of known encodings, since a
     single garbled character wouldn't determine a free mapping. Single-byte swaps are undone with translate(), misread UTF-8 by
     encoding and decoding, also when it was misread twice. A text is reported if its windows together speak for a cipher (NEEDED), or if it holds
-    U+FFFD, which can't be restored ("lost"). Null, empty and ASCII texts are never reported; repeated rows are each judged; a null source is a source.
+    U+FFFD, which can't be restored ("lost"), or a control U+0080 to U+009F that no cipher found restores ("control"). A reading without letters counts
+    only where its cipher is frequent in the source (FREQUENT). Null, empty and ASCII texts are never reported; repeated rows are each judged; a null source is a source.
     The counts of windows are pre-aggregated in the tasks; only bigrams and uses, both bounded by the alphabet and BUCKETS, reach the driver.
     """
     bucket = F.pmod(F.xxhash64(F.col(source)), F.lit(BUCKETS)).cast("int")
