@@ -67,3 +67,14 @@ def test_the_whole_vocabulary_is_merged(spark, tmp_path):
     spark.createDataFrame([(["T_149", "new", None],)], "tokens array<string>").write.parquet(f"{tmp_path}/token_file.parquet")
     assert sorted(map(tuple, entry.queries()["merge_vocab_all"](spark, str(tmp_path)).collect())) == sorted([*names, ("new", 204)])
     assert sorted(map(tuple, entry.queries()["sentinel_discovery_all"](spark, str(tmp_path)).collect())) == [("<extra_id_0>", 200), ("<extra_id_1>", 201)]
+
+
+def test_scores_without_supported_signature_have_bars(spark, tables):
+    notes = [(s, 0, 8 * i, 4, 60) for s in (1, 2, 3) for i in range(9)]
+    sf = tables(notes, {(s, 0): 0 for s in (1, 2, 3)}, [(2, 0, 7, 16), (3, 0, 3, 4)])
+    rows = {q: entry.queries()[q](spark, sf).collect() for q in ("bars_ticks", "beats_ticks", "notes_per_bar", "segment_bars", "remi_signatures_encode")}
+    assert sorted((r.score_id, r.tick, r.num, r.den) for r in rows["bars_ticks"]) == [(s, t, 4, 4) for s in (1, 2) for t in (0, 32, 64)] + [(3, t, 3, 4) for t in (0, 24, 48)]
+    assert [sum(r.score_id == s for r in rows["beats_ticks"]) for s in (1, 2, 3)] == [8, 8, 8]
+    assert sorted((r.score_id, r.bar, r.n_notes) for r in rows["notes_per_bar"]) == [(s, b, n) for s in (1, 2) for b, n in enumerate((4, 4, 1))] + [(3, b, 3) for b in range(3)]
+    assert sorted((r.score_id, r.start_tick, r.end_tick) for r in rows["segment_bars"] if r.score_id < 3) == [(s, t, t + 32) for s in (1, 2) for t in (0, 32)]
+    assert [sum(r.score_id == s and r.token == "Pitch_60" for r in rows["remi_signatures_encode"]) for s in (1, 2, 3)] == [9, 9, 9]

@@ -25,7 +25,7 @@ def _ticks(signatures: DataFrame, tpq: DataFrame, ends: DataFrame, bars: bool) -
 
 def bars(signatures: DataFrame, tpq: DataFrame, ends: DataFrame) -> DataFrame:
     """score_id, bar (from 0), tick, num, den. ends: (score_id, max_tick); a bar starts at or before max_tick. Unsupported signatures
-    (null or not positive) are skipped; a score without signatures has no rows here (give it 4/4 first)."""
+    (null or not positive) are skipped; a score without signatures has no rows here (normalize_signatures gives it 4/4)."""
     return _ticks(signatures, tpq, ends, True).select("score_id", (F.row_number().over(Window.partitionBy("score_id").orderBy("tick")) - 1).cast("bigint").alias("bar"), "tick", "num", "den")
 
 

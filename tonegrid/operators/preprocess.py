@@ -80,11 +80,12 @@ def supported_signatures(signatures: DataFrame, config: GridConfig = DEFAULT) ->
     return signatures.where(F.array_contains(known, F.struct(F.col("num").cast("int").alias("num"), F.col("den").cast("int").alias("den"))))
 
 
-def normalize_signatures(signatures: DataFrame, tpq: DataFrame) -> DataFrame:
+def normalize_signatures(signatures: DataFrame, tpq: DataFrame, every: bool = False) -> DataFrame:
     """score_id, time, num, den: equal successive signatures once, each delayed to the next bar start of the one before, the last of
-    a tick kept, and 4/4 at 0 where a score starts without one. A fold over the few signatures of a score, in the JVM."""
+    a tick kept, and 4/4 at 0 where a score starts without one. every: scores of tpq without signatures have 4/4 too. A fold over the few
+    signatures of a score, in the JVM."""
     rows = F.array_sort(F.collect_list(F.struct("time", "num", "den")))
-    d = signatures.groupBy("score_id").agg(rows.alias("s")).join(tpq, "score_id")
+    d = tpq.join(signatures.groupBy("score_id").agg(rows.alias("s")), "score_id", "left" if every else "inner")
     start = F.array(F.struct(F.lit(0).cast("bigint").alias("time"), F.lit(4).alias("num"), F.lit(4).alias("den")))
 
     def step(acc, s):
@@ -95,7 +96,7 @@ def normalize_signatures(signatures: DataFrame, tpq: DataFrame) -> DataFrame:
         same = (s["num"] == last["num"]) & (s["den"] == last["den"])
         return F.when(same, acc).when(at <= last["time"], F.concat(F.slice(acc, 1, F.size(acc) - 1), new)).otherwise(F.concat(acc, new))
 
-    return d.select("score_id", F.inline(F.aggregate("s", start, step)))
+    return d.select("score_id", F.inline(F.coalesce(F.aggregate("s", start, step), start)))
 
 
 def sections(signatures: DataFrame, tpq: DataFrame) -> DataFrame:

@@ -35,9 +35,9 @@ def grid_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preprocess.preprocess(notes(spark, sf_dir), tpq(spark, sf_dir), tracks(spark, sf_dir))
 
 
-def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Time signatures by score, normalized: on bar starts, from tick 0 on."""
-    return preprocess.normalize_signatures(preprocess.supported_signatures(score.time_signatures(raw(spark, sf_dir))), tpq(spark, sf_dir))
+def signatures(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
+    """Time signatures by score, normalized: on bar starts, from tick 0 on. every: 4/4 for scores without a supported one."""
+    return preprocess.normalize_signatures(preprocess.supported_signatures(score.time_signatures(raw(spark, sf_dir))), tpq(spark, sf_dir), every)
 
 
 def _pairs(events: str, name: str, on: str) -> str:

@@ -27,8 +27,8 @@ def query(sql: str | None = None):
     return register
 
 
-def _signatures(spark, sf) -> DataFrame:
-    return events.grid_signatures(base.signatures(spark, sf), base.tpq(spark, sf))
+def _signatures(spark, sf, every: bool = False) -> DataFrame:
+    return events.grid_signatures(base.signatures(spark, sf, every), base.tpq(spark, sf))
 
 
 _TSG = f"{SIGNATURES}, tsg as (select score_id, (time * 8 // tpq)::bigint as time, num, den from tsn join sc using (score_id))"
@@ -66,7 +66,7 @@ rts as ({music._places('select score_id, track_idx, bar, n, tokens from al', 'ba
 def _grid_with_bars(spark, sf) -> tuple[DataFrame, DataFrame]:
     notes = base.grid_notes(spark, sf)
     ends = grid.last_onset(notes)
-    bars = grid.bars(_signatures(spark, sf), ends.select("score_id", F.lit(8).alias("tpq")), ends)
+    bars = grid.bars(_signatures(spark, sf, True), ends.select("score_id", F.lit(8).alias("tpq")), ends)
     return grid.with_bar(notes, bars), bars
 
 

@@ -216,7 +216,7 @@ _BARS = f"{NOTES}, {SIGNATURES}, {_TICKS}"
 
 
 def _grid(spark, sf):
-    return base.signatures(spark, sf), base.tpq(spark, sf), grid.last_onset(base.notes(spark, sf))
+    return base.signatures(spark, sf, True), base.tpq(spark, sf), grid.last_onset(base.notes(spark, sf))
 
 
 @query(f"with {_BARS} select score_id, max_tick from ends")
