@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -58,10 +59,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or, only where that is unset, a temporary one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors share: spark.checkpoint.dir, else the one given to SparkContext.setCheckpointDir. Only a local session, whose
+    executors are this machine, gets a temporary folder where neither is set; any other master raises, since a folder of one machine would lose rows."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="tonegrid-")
@@ -70,10 +74,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Writes df as a table of the shared folder and reads it back: executors may be lost afterwards without recomputing."""
+    """Writes df as a table of the shared folder and reads it back: executors may be lost afterwards without recomputing. The table is
+    deleted by discard(), or when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tonegrid-{uuid.uuid4().hex}"
+    folder, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path), spark.sparkContext._jsc.hadoopConfiguration()
     df.write.option("compression", "zstd").parquet(path)
+    folder.getFileSystem(conf).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
