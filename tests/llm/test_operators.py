@@ -294,3 +294,57 @@ def test_swaps_are_inverse():
     text = CLEAN["ru"]
     assert mojibake.undo(garbled(text, "cp1251", "koi8-r"), ("cp1251", "koi8-r")) == text
     assert mojibake.undo(garbled(garbled(text, "utf-8", "cp1252"), "utf-8", "cp1252"), ("utf-8", "cp1252+cp1252")) == text
+
+
+@pytest.mark.parametrize("block", [4096, 20])
+def test_near_duplicates_in_a_hot_band(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    rnd = random.Random(4)
+    base = rnd.choices(range(300), k=60)
+    rows = []
+    for i in range(90):  # all alike, all different: every band is hot
+        ids = list(base)
+        ids[rnd.randrange(60)] = 1000 + i
+        rows.append((i, 0, ids))
+    sets = {s: {tuple(ids[j : j + 4]) for j in range(57)} for s, _, ids in rows}
+    alike = {(a, b) for a, b in itertools.combinations(range(90), 2) if len(sets[a] & sets[b]) * 5 >= 3 * len(sets[a] | sets[b])}
+    df = records(spark, rows).select(F.lit("s").alias("kind"), F.lit(4).alias("k"), "score_id", F.col("seq_id").alias("idx"), "ids")
+    got = [(r.score_a, r.score_b) for r in neardup.similar_pairs(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == alike
+    links = Counter(x for pair in alike for x in pair)
+    copies = df.union(df.where("score_id < 3").withColumn("score_id", F.col("score_id") + 500))
+    for r in neardup.linked(copies).collect():
+        s, twice = r.score_id % 500, sum(1 for t in range(3) if (min(r.score_id % 500, t), max(r.score_id % 500, t)) in alike)
+        assert (r.class_score, r.n_copies) == (s, 2 if s < 3 else 1) and r.n_links == links[s] + twice + (s < 3)
+
+
+def test_gathered(spark):
+    rnd = random.Random(2)
+    rows = [(s, t, o, rnd.randrange(100)) for s in range(4) for t in range(3) for o in range(rnd.randrange(12))]
+    rows += [(9, 0, 5, 2), (9, 0, 5, 1), (None, 0, 1, 1), (9, None, 1, 1), (9, 0, None, 1), (9, 0, 1, None)]
+    df = spark.createDataFrame([(*r, "x") for r in rows * 2], "score_id bigint, track_idx int, ord bigint, pitch int, _v string")
+    exp = defaultdict(set)
+    for s, t, o, p in rows:
+        if None not in (s, t, o, p):
+            exp[s, t].add((o, p))
+    got = {(r.score_id, r.track_idx): r.ids for r in neardup.gathered(df, ["score_id", "track_idx"], "ord", "pitch").collect()}
+    assert got == {k: [p for _, p in sorted(v)] for k, v in exp.items()}
+    assert neardup.gathered(df.limit(0), ["score_id", "track_idx"], "ord", "pitch").count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 17, 300])
+def test_gray_index(n):
+    from tonegrid.llm.graycode import GrayIndex, gray_rank
+
+    rng = np.random.default_rng(n)
+    bits = rng.integers(0, 1 << 63, size=(max(1, n // 10), 2), dtype=np.uint64)[rng.integers(0, max(1, n // 10), n)]
+    for i in range(n):
+        for k in rng.integers(0, 128, 20):
+            bits[i, k // 64] ^= np.uint64(1) << np.uint64(k % 64)
+    far = np.bitwise_count(bits[:, None] ^ bits[None]).sum(axis=2)
+    for limit in (0, 10, 44):
+        got = [tuple(sorted(p)) for x, y in GrayIndex(bits).pairs(limit) for p in zip(x.tolist(), y.tolist())]
+        assert sorted(got) == [(i, j) for i in range(n) for j in range(i + 1, n) if far[i, j] <= limit]
+        across = {(i, j) for x, y in GrayIndex(bits).pairs(limit, bits[::2]) for i, j in zip(x.tolist(), y.tolist())}
+        assert across == {(i, j) for i in range((n + 1) // 2) for j in range(n) if far[2 * i, j] <= limit}
+    assert all(gray_rank(np.array([[i ^ (i >> 1)]], np.uint64))[0, 0] == i for i in range(64))

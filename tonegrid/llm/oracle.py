@@ -37,8 +37,8 @@ on_ as (select distinct score_id, track_idx, ord, pitch from raw_events where ev
 r5 as (select score_id, track_idx, concat_ws(',', pitch, lead(pitch) over w, lead(pitch, 2) over w, lead(pitch, 3) over w, lead(pitch, 4) over w) h, lead(pitch, 4) over w last from on_ window w as (partition by score_id, track_idx order by ord)),
 ru as (select 'sequence' kind, score_id, seq_id idx, h from sq union all select distinct 'track', score_id, track_idx, h from r5 where last is not null),
 sz as (select kind, score_id, idx, count(*) n from ru group by kind, score_id, idx),
-pr as (select a.kind, a.score_id score_a, a.idx idx_a, b.score_id score_b, b.idx idx_b, count(*) c from ru a join ru b on a.kind = b.kind and a.h = b.h and (a.score_id, a.idx) < (b.score_id, b.idx) group by all)
-select pr.kind, score_a, idx_a, score_b, idx_b from pr join sz x on x.kind = pr.kind and x.score_id = score_a and x.idx = idx_a join sz y on y.kind = pr.kind and y.score_id = score_b and y.idx = idx_b where c * 5 >= 3 * (x.n + y.n - c)"""
+pr as (select a.kind, a.score_id score_a, a.idx idx_a, b.score_id score_b, b.idx idx_b, count(*) c from ru a join ru b on a.kind = b.kind and a.h = b.h and (a.score_id, a.idx) < (b.score_id, b.idx) group by all),
+fd as (select pr.kind, score_a, idx_a, score_b, idx_b from pr join sz x on x.kind = pr.kind and x.score_id = score_a and x.idx = idx_a join sz y on y.kind = pr.kind and y.score_id = score_b and y.idx = idx_b where c * 5 >= 3 * (x.n + y.n - c))"""
 
 SQL: dict[str, str] = {
     "p1_found": f"with {_EVENT} select field, term, mark from tm where mark <> 'useful'",
@@ -51,5 +51,9 @@ SQL: dict[str, str] = {
 hs as (select score_id, seq_id, sum(last_pos - first_pos + 1)::bigint n_shared from sp group by score_id, seq_id)
 select score_id, seq_id, n_ids, coalesce(n_shared, 0) as n_shared, case when n_ids > 0 then coalesce(n_shared, 0) / n_ids::double else 0.0 end as share from al left join hs using (score_id, seq_id)""",
     "p6_found": "select distinct config_name, score_id, seq_id from token_file join collator_configs on len(ids) >= max_seq_len",
-    "p7_found": f"with {_NEAR}",
+    "p7_found": f"with {_NEAR} select kind, score_a, idx_a, score_b, idx_b from fd",
+    "p7_linked": f"""with {_NEAR}, st as (select kind, score_id, idx, md5(string_agg(h, '|' order by h)) s from ru group by kind, score_id, idx),
+cl as (select kind, score_id, idx, min((score_id, idx)) over (partition by kind, s) m, count(*) over (partition by kind, s) n_copies from st),
+lk as (select kind, s, i, count(*) n from (select kind, score_a s, idx_a i from fd union all select kind, score_b, idx_b from fd) group by all)
+select cl.kind, cl.score_id, cl.idx, m[1] as class_score, m[2] as class_idx, n_copies, coalesce(n, 0) as n_links from cl left join lk on lk.kind = cl.kind and lk.s = cl.score_id and lk.i = cl.idx""",
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tonegrid.llm import bpe, chunking, cooccurrence, frequency, mixing, mojibake, neardup, packing, spans
 from tonegrid.llm.records import once
-from tonegrid.session import table
+from tonegrid.session import materialize, table
 
 RECORD = ["score_id", "seq_id"]
 
@@ -86,13 +86,22 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full.select("config_name", *RECORD).distinct()
 
 
-def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of sequences (runs of 6 ids) and of tracks (runs of 5 pitches) that share at least 60 % of their runs."""
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences with runs of 6 ids and tracks with runs of 5 pitches. The tracks are gathered once, into a table that is small, a number a note-on."""
     sequences = table(spark, sf_dir, "token_file").where("size(ids) >= 6").select(F.lit("sequence").alias("kind"), F.lit(6).alias("k"), "score_id", F.col("seq_id").alias("idx"), "ids")
     ons = table(spark, sf_dir, "raw_events").where("event_type = 'NoteOn' and velocity > 0 and pitch is not null and ord is not null")
-    tracks = ons.groupBy("score_id", "track_idx").agg(F.array_sort(F.collect_set(F.struct("ord", "pitch"))).alias("notes")).where("size(notes) >= 5")
-    tracks = tracks.select(F.lit("track").alias("kind"), F.lit(5).alias("k"), "score_id", F.col("track_idx").alias("idx"), F.col("notes.pitch").alias("ids"))
-    return neardup.similar_pairs(sequences.union(tracks))
+    tracks = materialize(neardup.gathered(ons, ["score_id", "track_idx"], "ord", "pitch").where("size(ids) >= 5"))
+    return sequences.union(tracks.select(F.lit("track").alias("kind"), F.lit(5).alias("k"), "score_id", F.col("track_idx").alias("idx"), "ids"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of sequences (runs of 6 ids) and of tracks (runs of 5 pitches) that share at least 60 % of their runs."""
+    return neardup.similar_pairs(_runs(spark, sf_dir))
+
+
+def p7_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sequence and track that has a run, with its class of copies and its number of similar ones."""
+    return neardup.linked(_runs(spark, sf_dir))
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +134,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_restored(spark, sf_dir).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p2_found, p2_pairs, p4_found, p4_cohesion, p5_found, p5_coverage, p6_found, p6_rows, p7_found, p8_ids, p9_found, p9_shares, p9_mix, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p2_found, p2_pairs, p4_found, p4_cohesion, p5_found, p5_coverage, p6_found, p6_rows, p7_found, p7_linked, p8_ids, p9_found, p9_shares, p9_mix, p10_found, p10_restored)}
 
 
 def oracle_sql() -> dict[str, str]:
