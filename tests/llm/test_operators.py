@@ -348,3 +348,26 @@ def test_gray_index(n):
         across = {(i, j) for x, y in GrayIndex(bits).pairs(limit, bits[::2]) for i, j in zip(x.tolist(), y.tolist())}
         assert across == {(i, j) for i in range((n + 1) // 2) for j in range(n) if far[2 * i, j] <= limit}
     assert all(gray_rank(np.array([[i ^ (i >> 1)]], np.uint64))[0, 0] == i for i in range(64))
+
+
+def test_every_source_learns_for_itself(spark):
+    """More than 64 sources, each with the ciphers of its own; and a run of more than 40 characters, restored whole."""
+    pages = [("ru", "cp1251", "cp1252"), ("ru", "koi8-r", "cp1252"), ("fr", "utf-8", "cp1252"), ("pl", "cp1250", "cp1252")]
+    rows, exp = [], {}
+    for i in range(100):
+        lang, right, wrong = pages[i % 4]
+        rows += [(10 * i + j, f"{CLEAN[x]} {CLEAN[x]}"[j:], f"s{i}") for j, x in enumerate([*CLEAN, lang])]
+        rows.append((10 * i + 9, garbled(CLEAN[lang], right, wrong), f"s{i}"))
+        exp[10 * i + 9] = CLEAN[lang]
+    long = CLEAN["ru"].replace(" ", "").replace(",", "").replace(".", "") * 3
+    rows += [(5000, long, "s1"), (5001, garbled(long, "utf-8", "cp1252"), "s1")]
+    exp[5001] = long
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {r.doc_id: r for r in mojibake.repair(df).collect()}
+    assert set(got) == set(exp)
+    whole = sum(got[k].restored == v for k, v in exp.items())
+    assert got[5001].restored == long and whole >= 0.7 * len(exp), whole
+
+
+def test_what_no_page_has_ends_a_run():
+    assert mojibake.windows("a平é") == ["平é "] and mojibake.windows("平成") == []

@@ -19,25 +19,30 @@ PAGES = ["cp1252", "latin-1", "cp1250", "iso8859-2", "cp1251", "koi8-r", "iso885
 CYRILLIC = {"cp1251", "koi8-r", "iso8859-5", "cp866", "mac_cyrillic"}
 #: Rounds of expectation and maximization.
 ROUNDS = 3
-#: Sources share so many tables of how often each cipher was used.
-BUCKETS = 64
 #: Log odds that a document's windows must give in sum: for UTF-8 read as a code page, for swapped code pages, for two of Cyrillic.
 NEEDED = (1.5, 4.0, 10.0)
-#: Log odds below the text as it stands at which a cipher is no longer considered.
+#: Log odds below the text as it stands at which a reading isn't kept. As no prior is above 1, it could neither be reported nor have a share of 1e-10.
 REACH = 25.0
-#: The least share of windows that any cipher is taken to have.
+#: The least share of windows that any cipher is taken to have: a floor under what was learned, which rules no cipher out.
 RARE = 1e-3
+#: Readings of a smaller probability are left out of the expected counts.
+SLIGHT = 1e-4
 #: The share of a source's windows from which on a cipher is frequent there, so that readings without letters count too.
 FREQUENT = 1e-2
 SMOOTH = 0.5
+#: The least share of a text that is taken to be as it was written, or under one of the ciphers found in it.
+LEAST = 0.01
+#: Characters of windows and their readings that a task remembers; beyond it they are worked out anew.
+HELD = 50_000_000
+_RARE = math.log(RARE)
 
-_runs = re.compile("[^\x00-\x7f]+")
-_controls = re.compile("[\x80-\x9f]")
-_repeats = re.compile(r"(.{1,9}?)\1{3,}", re.S)
 _LETTERS = [bytes([b]) for b in range(256)]
 DECODE = {p: [b.decode(p, "ignore") or chr(i) for i, b in enumerate(_LETTERS)] for p in PAGES}  # an unused byte passes as a control character
 ENCODE = {p: {c: b for b, c in enumerate(table) if b > 127} for p, table in DECODE.items()}
 KNOWN = {c for table in DECODE.values() for c in table} | set(map(chr, range(128)))
+#: A run of characters beyond ASCII that some code page has; what no page has, no wrong decoding can have made.
+_runs = re.compile("[" + "".join(map(re.escape, sorted(c for c in KNOWN if c > "\x7f"))) + "]+")
+_controls = re.compile("[\x80-\x9f]")
 
 Cipher = tuple[str, str]
 
@@ -93,18 +98,12 @@ def candidates(run: str) -> dict[str, Cipher]:
 
 
 def windows(text: str) -> list[str]:
-    """Each run of characters beyond ASCII with the character before and after it; repeats in long runs are shortened.
+    """Each run of characters beyond ASCII, whole, with the character before and after it.
 
-    Between two ciphers or none, only these characters differ in a text, as ASCII is the same in all pages.
+    Between two ciphers or none, only these characters differ in a text, as ASCII is the same in all pages. A run ends at characters that no page has.
     """
     text = f" {text} "
-    return [_window(text, m.start(), m.end()) for m in _runs.finditer(text)]
-
-
-def _window(text: str, a: int, b: int) -> str:
-    if b - a <= 40:
-        return text[a - 1 : b + 1]
-    return text[a - 1] + _repeats.sub(r"\1\1\1", text[a:b]) + text[b]
+    return [text[m.start() - 1 : m.end() + 1] for m in _runs.finditer(text)]
 
 
 def _fold(s: str) -> str:
@@ -160,15 +159,12 @@ class Bigrams:
 
 
 class Reader:
-    """Weighs, for each window, the ciphers against the text as it stands."""
+    """Weighs, for each window, the ciphers against the text as it stands. Priors: of a source, the log of the share of its windows that each cipher has."""
 
-    def __init__(self, pairs: dict[str, float], uses: dict[tuple[int, str], float]):
+    def __init__(self, pairs: dict[str, float]):
         self.bigrams = Bigrams(pairs)
-        sums: Counter = Counter()
-        for (bucket, _), n in uses.items():
-            sums[bucket] += n
-        self.uses, self.sums = uses, sums
         self.seen: dict[str, list[tuple[float, str, Cipher]]] = {}
+        self.held = 0
 
     def options(self, window: str) -> list[tuple[float, str, Cipher]]:
         """(log likelihood ratio to the window itself, the run restored, cipher), of all ciphers within reach."""
@@ -178,29 +174,31 @@ class Reader:
             a, run, b = window[0], window[1:-1], window[-1]
             found = [(self.bigrams(a + was + b) - plain, was, cipher) for was, cipher in candidates(run).items()]
             found = [x for x in found if x[0] > -REACH]
-            if len(self.seen) > 500_000:
+            self.held += 100 + len(window) * (1 + len(found))
+            if self.held > HELD:
                 self.seen.clear()
+                self.held = 0
             self.seen[window] = found
         return found
 
-    def prior(self, bucket: int, cipher: Cipher) -> float:
-        """Log of the share of windows that the source has under the cipher, RARE at least: one window of a rare cipher counts too."""
-        return math.log(max(RARE, self.uses.get((bucket, "<".join(cipher)), 0) / (self.sums[bucket] + 1)))
-
-    def expected(self, bucket: int, window: str) -> list[tuple[float, str, Cipher | None]]:
+    def expected(self, priors: dict[str, float], window: str) -> list[tuple[float, str, Cipher | None]]:
         """(probability, window as it was written, cipher) of each reading."""
-        odds = [(0.0, window, None)] + [(x + self.prior(bucket, c), window[0] + was + window[-1], c) for x, was, c in self.options(window)]
+        odds = [(0.0, window, None)] + [(x + prior(priors, c), window[0] + was + window[-1], c) for x, was, c in self.options(window)]
         most = max(x for x, _, _ in odds)
         weights = [math.exp(x - most) for x, _, _ in odds]
         total = sum(weights)
-        return [(w / total, was, c) for w, (_, was, c) in zip(weights, odds) if w > 1e-4 * total]
+        return [(w / total, was, c) for w, (_, was, c) in zip(weights, odds) if w > SLIGHT * total]
 
-    def document(self, bucket: int, text: str) -> tuple[list[str], str] | None:
+    def odds(self, window: str, share: dict[Cipher | None, float]) -> list[tuple[float, str, Cipher | None]]:
+        """(log odds, run, cipher) of the window as it stands and of its readings under the ciphers of a text."""
+        return [(math.log(share[None]), window[1:-1], None)] + [(x + math.log(share[c]), was, c) for x, was, c in self.options(window) if c in share]
+
+    def document(self, priors: dict[str, float], text: str) -> tuple[list[str], str] | None:
         """The ciphers ("right<wrong") found in a text, and the text restored as far as it can be; None if it isn't garbled."""
         gains: dict[Cipher, float] = defaultdict(float)
         for window in set(windows(text)):
-            best = max(((x + self.prior(bucket, c), was, c) for x, was, c in self.options(window)), default=None)
-            if best and best[0] > 0 and (best[2][0] == "utf-8" or _in_word(window, best[1]) or self.prior(bucket, best[2]) >= math.log(FREQUENT)):
+            best = max(((x + prior(priors, c), was, c) for x, was, c in self.options(window)), default=None)
+            if best and best[0] > 0 and (best[2][0] == "utf-8" or _in_word(window, best[1]) or prior(priors, best[2]) >= math.log(FREQUENT)):
                 gains[best[2]] += best[0]
         kinds: Counter = Counter()
         for cipher, gain in gains.items():
@@ -210,9 +208,23 @@ class Reader:
             marks = _marks(text, text)
             return (marks, text) if marks else None
 
+        own = Counter(windows(text))
+        share = {None: 0.5} | dict.fromkeys(found, 0.5 / len(found))
+        for _ in range(ROUNDS + 2):  # how much of this text is under each of its ciphers, learned from the text itself
+            sums: dict[Cipher | None, float] = defaultdict(lambda: LEAST)
+            for window, n in own.items():
+                odds = self.odds(window, share)
+                most = max(x for x, _, _ in odds)
+                total = sum(math.exp(x - most) for x, _, _ in odds)
+                for x, _, c in odds:
+                    sums[c] += n * math.exp(x - most) / total
+            every = sum(sums[c] for c in share)
+            share = {c: max(LEAST, sums[c] / every) for c in share}
+
         def restored(m: re.Match) -> str:
-            window = _window(padded, m.start(), m.end())
-            x, cipher = max(((x, c) for x, _, c in self.options(window) if c in found), default=(0.0, None))
+            window = padded[m.start() - 1 : m.end() + 1]
+            ways = [(x + max(0.0, math.log(share[c] / share[None])), c) for x, _, c in self.options(window) if c in share]  # a text that is largely under a cipher speaks for it
+            x, cipher = max(ways, key=lambda way: way[0], default=(0.0, None))
             return (undo(m.group(), cipher) or m.group()) if x > 0 else m.group()
 
         padded = f" {text} "
@@ -220,6 +232,11 @@ class Reader:
         return sorted("<".join(c) for c in found) + _marks(text, mended), mended
 
 
+def prior(priors: dict[str, float], cipher: Cipher) -> float:
+    """Log of the share of windows that the source has under the cipher, RARE at least: one window of a rare cipher counts too."""
+    return priors.get("<".join(cipher), _RARE)
+
+
 def _marks(text: str, restored: str) -> list[str]:
     """What shows a garbled text by itself: U+FFFD, and controls U+0080 to U+009F that no cipher restored."""
     return ["lost"] * ("�" in text) + ["control"] * bool(_controls.search(restored))
@@ -245,47 +262,68 @@ def repair(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     encoding and decoding, also when it was misread twice. A text is reported if its windows together speak for a cipher (NEEDED), or if it holds
     U+FFFD, which can't be restored ("lost"), or a control U+0080 to U+009F that no cipher found restores ("control"). A reading without letters counts
     only where its cipher is frequent in the source (FREQUENT). Null, empty and ASCII texts are never reported; repeated rows are each judged; a null source is a source.
-    The counts of windows are pre-aggregated in the tasks; only bigrams and uses, both bounded by the alphabet and BUCKETS, reach the driver.
+    Every source has priors of its own, however many there are: they are a table of a row a source, joined to the windows and documents by source. The
+    counts of windows are pre-aggregated in the tasks; only the bigrams, bounded by the alphabet of the code pages, reach the driver.
     """
-    bucket = F.pmod(F.xxhash64(F.col(source)), F.lit(BUCKETS)).cast("int")
-    d = docs.where(F.col(text).rlike("[^\\x00-\\x7f]")).select(F.col(key).alias("key"), F.col(text).alias("text"), bucket.alias("bucket"))
+    name = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("null"))
+    d = docs.where(F.col(text).rlike("[^\\x00-\\x7f]")).select(F.col(key).alias("key"), F.col(text).alias("text"), name.alias("source"))
 
     def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            by: dict[int, Counter] = defaultdict(Counter)
-            for t, b in zip(pdf.text, pdf.bucket):
+            by: dict[str, Counter] = defaultdict(Counter)
+            for t, b in zip(pdf.text, pdf.source):
                 by[b].update(windows(t))
-            yield pd.DataFrame([(w, b, n) for b, c in by.items() for w, n in c.items()], columns=["window", "bucket", "n"])
+            yield pd.DataFrame([(w, b, n) for b, c in by.items() for w, n in c.items()], columns=["window", "source", "n"])
 
-    counts = d.select("text", "bucket").mapInPandas(count, "window string, bucket int, n bigint")
-    counts = materialize(counts.groupBy("window", "bucket").agg(F.sum("n").alias("n")).repartition("window").sortWithinPartitions("window"))
+    counts = d.select("text", "source").mapInPandas(count, "window string, source string, n bigint")
+    counts = materialize(counts.groupBy("window", "source").agg(F.sum("n").alias("n")).repartition("window").sortWithinPartitions("window"))
 
-    def step(pairs: dict[str, float] | None, uses: dict[tuple[int, str], float]):
+    def with_priors(rows: DataFrame, uses: DataFrame | None) -> DataFrame:
+        """Adds `priors`, names and values of the source's priors above the floor."""
+        if uses is None:
+            return rows.withColumn("priors", F.array().cast("array<struct<c:string,p:double>>"))
+        share = F.col("n") / (F.col("total") + 1)
+        own = uses.join(uses.groupBy("source").agg(F.sum("n").alias("total")), "source").where((F.col("what") != "") & (share > RARE))
+        own = own.groupBy("source").agg(F.collect_list(F.struct(F.col("what").alias("c"), F.log(share).alias("p"))).alias("priors"))  # at most one for each pair of pages
+        return rows.join(own, "source", "left")
+
+    def step(pairs: dict[str, float] | None, uses: DataFrame | None) -> tuple[dict[str, float], DataFrame]:
         def expect(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            reader = Reader(pairs, uses) if pairs is not None else None
+            reader = Reader(pairs) if pairs is not None else None
             sums: Counter = Counter()
             for pdf in it:
-                for window, bucket, n in zip(pdf.window, pdf.bucket, pdf.n):
-                    for p, was, cipher in reader.expected(bucket, window) if reader else [(1.0, window, None)]:
+                for window, own, n, priors in zip(pdf.window, pdf.source, pdf.n, pdf.priors):
+                    for p, was, cipher in reader.expected(_priors(priors), window) if reader else [(1.0, window, None)]:
                         for pair in Bigrams.of(was):
-                            sums[-1, pair] += n * p
-                        sums[bucket, "<".join(cipher) if cipher else ""] += n * p
-            yield pd.DataFrame([(b, x, float(n)) for (b, x), n in sums.items()], columns=["bucket", "what", "n"])
-
-        rows = counts.mapInPandas(expect, "bucket int, what string, n double").groupBy("bucket", "what").agg(F.sum("n").alias("n")).collect()
-        return {r.what: r.n for r in rows if r.bucket < 0}, {(r.bucket, r.what): r.n for r in rows if r.bucket >= 0}
-
-    pairs, uses = step(None, {})
-    uses = {}  # nothing is known of the ciphers before the first round
+                            sums[None, pair] += n * p
+                        sums[own, "<".join(cipher) if cipher else ""] += n * p
+                if len(sums) > 1_000_000:
+                    yield made(sums)
+                    sums = Counter()
+            yield made(sums)
+
+        def made(sums: Counter) -> pd.DataFrame:
+            return pd.DataFrame([(b, x, float(n)) for (b, x), n in sums.items()], columns=["source", "what", "n"])
+
+        found = with_priors(counts, uses).select("window", "source", "n", "priors").mapInPandas(expect, "source string, what string, n double")
+        found = materialize(found.groupBy("source", "what").agg(F.sum("n").alias("n")))
+        return {r.what: r.n for r in found.where("source is null").select("what", "n").collect()}, found.where("source is not null")
+
+    pairs, _ = step(None, None)
+    uses = None  # nothing is known of the ciphers before the first round
     for _ in range(ROUNDS):
         pairs, uses = step(pairs, uses)
     discard(counts)
 
     def judge(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Reader(pairs, uses)
+        reader = Reader(pairs)
         for pdf in it:
-            found = [(k, *x) for k, t, b in zip(pdf.key, pdf.text, pdf.bucket) if (x := reader.document(b, t))]
+            found = [(k, *x) for k, t, p in zip(pdf.key, pdf.text, pdf.priors) if (x := reader.document(_priors(p), t))]
             yield pd.DataFrame(found, columns=["key", "ciphers", "restored"])
 
     schema = f"key {docs.schema[key].dataType.simpleString()}, ciphers array<string>, restored string"
-    return d.select("key", "text", "bucket").mapInPandas(judge, schema).withColumnRenamed("key", key)
+    return with_priors(d, uses).select("key", "text", "priors").mapInPandas(judge, schema).withColumnRenamed("key", key)
+
+
+def _priors(rows) -> dict[str, float]:
+    return {} if rows is None else {r["c"]: r["p"] for r in rows}
