@@ -371,3 +371,44 @@ def test_every_source_learns_for_itself(spark):
 
 def test_what_no_page_has_ends_a_run():
     assert mojibake.windows("a平é") == ["平é "] and mojibake.windows("平成") == []
+
+
+def test_shares_are_those_of_the_documents_drawn(spark):
+    from tonegrid.functions import uniform
+
+    rnd = random.Random(8)
+    docs = [(i, "word " * rnd.randrange(1, 40), rnd.choice("aab")) for i in range(300)] + [(900, None, "a"), (901, "", "b"), (902, "x", None), (903, "x", "other")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, source string").withColumn("copies", F.lit(7))
+    targets = spark.createDataFrame([("a", 0.3, 2), ("b", 0.7, 2), ("none", 0.0, 1)], "source string, target_share double, max_repeats int")
+    mix, shares = mixing.mixed(df, targets)
+    shares = {r.source: r for r in shares.collect()}
+    u = {r.doc_id: r.u for r in df.select("doc_id", uniform(1, "doc_id").alias("u")).collect()}
+    tokens = {r.doc_id: r.n for r in bpe.encode(df).select("doc_id", F.size("ids").alias("n")).collect()}
+    exp, used = {}, Counter()
+    for key, _, source in docs:
+        if source in shares:
+            repeats = shares[source].repeats
+            copies = min(int(repeats) + (u[key] < repeats - int(repeats)), shares[source].max_repeats)
+            used[source] += copies * tokens[key]
+            if copies:
+                exp[key] = (source, copies)
+    assert {r.doc_id: (r.source, r.copies) for r in mix.collect()} == exp
+    for source, r in shares.items():
+        assert r.used_tokens == used[source] and r.reached_share == pytest.approx(used[source] / sum(used.values()))
+    assert shares["a"].reached_share == pytest.approx(shares["a"].planned_share, abs=0.05)
+    assert {r.reached_share for r in mixing.mixed(df.limit(0), targets)[1].collect()} == {0.0}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 50), min_size=1, max_size=60))
+def test_best_fit(sizes):
+    box = packing.best_fit(np.array(sizes), 50)
+    assert np.bincount(box, weights=sizes).max() <= 50
+    assert packing.pack(np.array(sizes), 50).max() <= box.max()
+
+
+def test_pieces_advance_by_half_of_their_reach():
+    cuts = np.arange(5, 600, 5)
+    depth = np.where(cuts % 100 == 10, 5.0, 0.1)  # deep valleys early in each window
+    made = chunking.pieces(600, 100, 8, cuts, depth)
+    assert all(b - a + 1 >= 8 + 46 for a, b in made[:-1]) and made[-1][1] == 599

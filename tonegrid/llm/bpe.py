@@ -17,8 +17,9 @@ TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Fixed value: how the vocabulary splits a text before it merges bytes.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Distinct words that a worker keeps encoded. A full cache is emptied; the ids are the same with any number.
-WORDS = 300_000
+#: Bytes of words and their ids that a worker keeps; a full cache is emptied. Longer words than LONG (texts without spaces are one word) aren't kept. The
+#: ids are the same with any number.
+KEPT, LONG = 64_000_000, 200
 
 
 class PrefixEncoder:
@@ -117,11 +118,15 @@ class _Words(dict):
 
     def __init__(self, encoder: PrefixEncoder, before: str):
         super().__init__()
+        self.held = 0
         self.encoder, self.before, self.split = encoder, before, regex.compile(PATTERN).findall
 
     def __missing__(self, word: str) -> bytes:
         ids = [x for piece in self.split(self.before + word) for x in self.encoder.encode(piece.encode())]
-        self[word] = made = np.asarray(ids, np.int32).tobytes()
+        made = np.asarray(ids, np.int32).tobytes()
+        if len(word) <= LONG:
+            self[word] = made
+            self.held += 200 + 2 * len(word) + len(made)
         return made
 
 
@@ -145,9 +150,10 @@ class TextEncoder:
         """The ids as bytes of INTs."""
         if not text:
             return b""
-        if len(self.alone) + len(self.spaced) > WORDS:
-            self.alone.clear()
-            self.spaced.clear()
+        if self.alone.held + self.spaced.held > KEPT:
+            for words in (self.alone, self.spaced):
+                words.clear()
+                words.held = 0
         if self.odd(text):
             return b"".join(map(self.alone.__getitem__, self.cuts(text)))
         first, *rest = text.split(" ")

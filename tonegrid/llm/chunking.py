@@ -47,7 +47,8 @@ def cohesion(ids: np.ndarray, cuts: np.ndarray, blocks: int = BLOCKS) -> np.ndar
 
 def pieces(n: int, most: int, overlap: int, cuts: np.ndarray, depth: np.ndarray | None = None) -> list[tuple[int, int]]:
     """First and last position of each piece of n ids. A piece ends right before the deepest of the cuts that leave it more than
-    `overlap` and at most `most` ids, the last of equally deep ones; without one it has `most` ids. The rest is one piece once it fits."""
+    `overlap` and at most `most` ids, the last of equally deep ones; without one it has `most` ids. The rest is one piece once it fits.
+    With depths, cuts are looked for in the upper half of what is in reach first, so that a piece advances by half of what it could, or more."""
     out, start = [], 0
     while n - start > most:
         low, high = np.searchsorted(cuts, [start + overlap + 1, start + most + 1])
@@ -56,6 +57,8 @@ def pieces(n: int, most: int, overlap: int, cuts: np.ndarray, depth: np.ndarray
         elif depth is None:
             end = int(cuts[high - 1])
         else:
+            upper = int(np.searchsorted(cuts, start + overlap + (most - overlap + 1) // 2))
+            low = upper if upper < high else low
             own = depth[low:high]
             end = int(cuts[high - 1 - int(np.argmax(own[::-1]))])
         out.append((start, end - 1))

@@ -10,10 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonegrid.llm.hashing import flat
-from tonegrid.llm.records import key_hash
+from tonegrid.llm.records import key_hash, salts
 
-#: Identical baskets of a hot kind meet in so many groups, not in one.
-SALTS = 16
 #: Up to so many distinct ids in a task, pairs are counted in a square matrix; beyond it, as sorted lists.
 DENSE = 2048
 #: Pairs that a task holds in lists before it hands them on.
@@ -71,30 +69,30 @@ def pair_counts(df: DataFrame, record: Sequence[str], ids: str) -> DataFrame:
     """(id_a, id_b, n): in how many records two ids stand together; id_a < id_b. Rows with id_a = id_b have the records of one id, the
     row with both null the number of records.
 
-    Each record's ids become a basket: its distinct ids, sorted. Equal baskets meet (a hot one in SALTS groups) and are collapsed into one
+    Each record's ids become a basket: its distinct ids, sorted. Equal baskets meet (a hot one in salts() groups, so that it isn't one task) and are collapsed into one
     with a weight; pairs are enumerated once for each distinct basket, and weights are summed within the task before the shuffle.
     Rows that come twice with the same record columns count once. Null or empty ids make no record; null ids in a list are left out.
     """
     basket = F.array_sort(F.array_distinct(F.filter(ids, lambda x: x.isNotNull())))
     d = df.where(F.size(ids) > 0).select(key_hash(record).alias("_r"), basket.alias("_ids"))
-    d = d.select(F.xxhash64("_ids").alias("_h"), "_r", "_ids")
-    d = d.repartition(F.col("_h"), F.pmod("_r", F.lit(SALTS))).sortWithinPartitions("_h", "_r")
+    d = d.select(F.xxhash64("_ids").alias("_h"), "_r", "_ids", F.xxhash64(F.lit(7), "_ids").alias("_h2"))  # equal baskets: 128 bits
+    d = d.repartition(F.col("_h"), F.pmod("_r", F.lit(salts(df, 8)))).sortWithinPartitions("_h", "_h2", "_r")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, records, last = PairCounts(), 0, (None, None)
+        counts, records, last = PairCounts(), 0, (None, None, None)
         for whole in it:
             for at in range(0, whole.num_rows, 2048):
                 batch = whole.slice(at, 2048)
-                h, r = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-                new = np.concatenate([[(h[0], r[0]) != last], (h[1:] != h[:-1]) | (r[1:] != r[:-1])])
-                last = h[-1], r[-1]
+                h, r, h2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
+                new = np.concatenate([[(h[0], h2[0], r[0]) != last], (h[1:] != h[:-1]) | (h2[1:] != h2[:-1]) | (r[1:] != r[:-1])])
+                last = h[-1], h2[-1], r[-1]
                 kept = np.flatnonzero(new)  # each record once
                 if not len(kept):
                     continue
                 records += len(kept)
                 values, offsets = flat(batch.column(2))
-                h = h[kept]
-                starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+                h, h2 = h[kept], h2[kept]
+                starts = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])]))
                 weight = np.diff(np.append(starts, len(kept)))
                 rows = kept[starts]
                 lengths = offsets[rows + 1] - offsets[rows]
@@ -121,7 +119,7 @@ def scored(counts: DataFrame) -> DataFrame:
     total = counts.where("id_a is null").select(F.col("n").alias("n_records"))
     pairs = counts.where("id_a < id_b").select("id_a", "id_b", F.col("n").alias("n_ab"))
     pairs = pairs.join(one.toDF("id_a", "n_a"), "id_a").join(one.toDF("id_b", "n_b"), "id_b")
-    pairs = pairs.withColumn("_one", F.lit(1)).join(F.broadcast(total.withColumn("_one", F.lit(1))), "_one").drop("_one")  # a single row
+    pairs = pairs.withColumn("n_records", total.scalar())  # a single row
     lift = F.col("n_ab") * F.col("n_records") / (F.col("n_a") * F.col("n_b"))
     left = 1 - F.col("n_ab") / F.col("n_a")
     return pairs.withColumn("lift", lift).withColumn("conviction", F.when(left > 0, (1 - F.col("n_b") / F.col("n_records")) / left))

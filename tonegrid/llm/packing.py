@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left, insort
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -81,7 +82,26 @@ def level(sizes: np.ndarray, box: np.ndarray, k: int, capacity: int) -> np.ndarr
     return box
 
 
+def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """Items by falling size, each into the container with the least room that holds it."""
+    box, room, n = np.zeros(len(sizes), np.int64), [], 0  # room: (places left, container), sorted
+    for i in np.argsort(-sizes, kind="stable"):
+        at = bisect_left(room, (int(sizes[i]), -1))
+        left, own = room.pop(at) if at < len(room) else (capacity, n)
+        n += own == n
+        box[i] = own
+        insort(room, (left - int(sizes[i]), own))
+    return box
+
+
 def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """A container for each item, none above the capacity: by partition(), or by best_fit() where that needs fewer containers."""
+    if not len(sizes):
+        return np.zeros(0, np.int64)
+    return min(partition(sizes, capacity), best_fit(sizes, capacity), key=lambda box: box.max())
+
+
+def partition(sizes: np.ndarray, capacity: int) -> np.ndarray:
     """A container for each item, none above the capacity; sizes between 1 and capacity.
 
     Differencing with as few containers as the sum allows, then level(). If some still exceed the capacity, their items and those of

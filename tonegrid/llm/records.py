@@ -20,3 +20,8 @@ def once(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def key_hash(keys: Sequence[str]) -> Column:
     """A 64-bit name of a key; a null is told apart from other values and from nulls of other columns."""
     return F.xxhash64(*[c for k in keys for c in (F.col(k).isNull(), F.col(k))])
+
+
+def salts(df: DataFrame, share: int = 1) -> int:
+    """Into how many groups a hot key is split: as many as a shuffle has partitions, divided by `share`, but 16 at least."""
+    return max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // share)
