@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Units of a time shard. A unit is an exact integer (a tick); an interval makes one piece for each shard that it touches.
+#: Units of a time shard. A unit is an exact integer (a tick).
 SHARD = 1 << 16
 
 
@@ -16,11 +16,12 @@ def periods_and_gaps(
 ) -> DataFrame:
     """Merges the half-open intervals [start, end) of each entity and lists the gaps between the merged periods.
 
-    Time is cut into shards of `shard` units. In each (entity, shard) the pieces of the intervals form a bitmap that is held as its
-    runs of set units, never as single bits; the runs of a shard are united there, so the shuffle and the sort are by (entity, shard)
-    and an entity that holds a third of all rows is spread over its shards. Between shards only two numbers a shard count: where its
-    first run starts and where its last run ends. Carrying those along the shards of an entity gives the set runs (`period`)
-    and the clear runs between them (`gap`).
+    Time is cut into shards of `shard` units. In each (entity, shard) the intervals set the units of a bitmap, which is run-length
+    compressed throughout: its runs of set units, found by a sweep over the sorted pieces; no unit is ever a bit of its own. The shuffle and
+    the sort are by (entity, shard), so an entity that holds a third of all rows is spread over its shards. An interval makes two pieces, in its
+    first and last shard, and one stretch of whole shards between them, however many they are; shards inside such a stretch add nothing.
+    Between shards only two numbers a shard count: where its first run starts and where its last run ends. Carrying those along the shards of
+    an entity gives the set runs (`period`) and the clear runs between them (`gap`).
 
     Result: the entity's columns, kind ('period' or 'gap'), start, end (exclusive). Null entity values form their own entity.
     Intervals with a null bound or without length are ignored. Touching intervals belong together. An empty table gives no rows.
@@ -30,21 +31,28 @@ def periods_and_gaps(
     d = df.select(*[F.col(c).alias(k) for c, k in zip(entity, keys)], F.col(start).cast("bigint").alias("_s"), F.col(end).cast("bigint").alias("_t"))
     d = d.where("_s < _t")
     first, last = F.floor(F.col("_s") / F.lit(shard)), F.floor((F.col("_t") - 1) / F.lit(shard))
-    d = d.withColumn("_b", F.explode(F.sequence(first, last)))
-    d = d.select(*keys, "_b", F.greatest("_s", F.col("_b") * shard).alias("_s"), F.least("_t", (F.col("_b") + 1) * shard).alias("_t"))
+    piece = lambda b, s, t, whole: F.struct(b.alias("_b"), s.alias("_s"), t.alias("_t"), F.lit(whole).alias("_w"))
+    pieces = F.when(first == last, F.array(piece(first, F.col("_s"), F.col("_t"), 0))).when(last == first + 1, F.array(piece(first, F.col("_s"), last * shard, 0), piece(last, last * shard, F.col("_t"), 0)))
+    pieces = pieces.otherwise(F.array(piece(first, F.col("_s"), (first + 1) * shard, 0), piece(first + 1, (first + 1) * shard, last * shard, 1), piece(last, last * shard, F.col("_t"), 0)))
+    d = d.select(*keys, F.inline(pieces))
 
     # runs of set units of one shard
-    by_shard = Window.partitionBy(*keys, "_b").orderBy("_s", "_t")
+    by_shard = Window.partitionBy(*keys, "_b", "_w").orderBy("_s", "_t")
     reach = F.max("_t").over(by_shard.rowsBetween(Window.unboundedPreceding, -1))
     d = d.withColumn("_new", F.when(reach >= F.col("_s"), 0).otherwise(1))
     d = d.withColumn("_run", F.sum("_new").over(by_shard.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = d.groupBy(*keys, "_b", "_run").agg(F.min("_s").alias("_s"), F.max("_t").alias("_t"))
-    runs = runs.groupBy(*keys, "_b").agg(F.array_sort(F.collect_list(F.struct("_s", "_t"))).alias("_runs"))  # at most shard / 2 runs
+    runs = d.groupBy(*keys, "_b", "_w", "_run").agg(F.min("_s").alias("_s"), F.max("_t").alias("_t"))
+    runs = runs.groupBy(*keys, "_b", "_w").agg(F.array_sort(F.collect_list(F.struct("_s", "_t"))).alias("_runs"))  # at most shard / 2 runs
 
-    # one row a shard from here on
-    along = Window.partitionBy(*keys).orderBy("_b")
+    # one row a shard or stretch from here on; a stretch comes before the shard that it starts with
+    along = Window.partitionBy(*keys).orderBy("_b", F.col("_w").desc())
     n = F.size("_runs")
-    runs = runs.select(*keys, "_b", "_runs", n.alias("_n"), F.col("_runs")[0]["_s"].alias("_first"), F.col("_runs")[n - 1]["_s"].alias("_tail"), F.col("_runs")[n - 1]["_t"].alias("_last"))
+    runs = runs.withColumn("_cover", F.max(F.when(F.col("_w") == 1, F.col("_runs")[0]["_t"])).over(along.rowsBetween(Window.unboundedPreceding, -1)))
+    end = F.when(F.col("_w") == 1, F.col("_runs")[0]["_t"]).otherwise((F.col("_b") + 1) * shard)
+    runs = runs.where(F.col("_cover").isNull() | (F.col("_cover") < end))
+    cut = F.array(F.struct(F.greatest(F.col("_runs")[0]["_s"], "_cover").alias("_s"), F.col("_runs")[0]["_t"].alias("_t")))
+    runs = runs.withColumn("_runs", F.when(F.col("_w") == 1, cut).otherwise(F.col("_runs")))
+    runs = runs.select(*keys, "_b", "_w", "_runs", n.alias("_n"), F.col("_runs")[0]["_s"].alias("_first"), F.col("_runs")[n - 1]["_s"].alias("_tail"), F.col("_runs")[n - 1]["_t"].alias("_last"))
     runs = runs.withColumn("_joined", F.coalesce(F.lag("_last").over(along) == F.col("_first"), F.lit(False)))
     runs = runs.withColumn("_carry", F.when(~(F.col("_joined") & (F.col("_n") == 1)), F.col("_tail")))  # where the shard's last period began, unless before it
     runs = runs.withColumn("_open", F.last("_carry", True).over(along.rowsBetween(Window.unboundedPreceding, -1)))
