@@ -40,7 +40,7 @@ def test_periods_and_gaps(spark, shard):
     by["wide"] = [(-(1 << 40), 1 << 40), (5, 9), (1 << 40, (1 << 40) + 3), ((1 << 41), (1 << 42)), ((1 << 41) + 77, (1 << 42) + 999)]
     by["nested"] = [(0, 100), (3, 50), (8, 200), (64, 128), (203, 260), (201, 202)]
     rows = [(None if e is None else str(e), a, b, 1, 1) for e, l in by.items() for a, b in l] * 2
-    df = spark.createDataFrame(rows, "who string, a int, b bigint, _b int, kind int")
+    df = spark.createDataFrame(rows, "who string, a bigint, b bigint, _b int, kind int")
     got = Counter(map(tuple, periods_and_gaps(df, ["who"], "a", "b", shard).collect()))
     assert got == Counter((None if e is None else str(e), *r) for e, l in by.items() for r in brute_runs(l))
     assert periods_and_gaps(df.limit(0), ["who"], "a", "b").count() == 0

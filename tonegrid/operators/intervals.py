@@ -48,8 +48,8 @@ def periods_and_gaps(
     along = Window.partitionBy(*keys).orderBy("_b", F.col("_w").desc())
     n = F.size("_runs")
     runs = runs.withColumn("_cover", F.max(F.when(F.col("_w") == 1, F.col("_runs")[0]["_t"])).over(along.rowsBetween(Window.unboundedPreceding, -1)))
-    end = F.when(F.col("_w") == 1, F.col("_runs")[0]["_t"]).otherwise((F.col("_b") + 1) * shard)
-    runs = runs.where(F.col("_cover").isNull() | (F.col("_cover") < end))
+    bound = F.when(F.col("_w") == 1, F.col("_runs")[0]["_t"]).otherwise((F.col("_b") + 1) * shard)
+    runs = runs.where(F.col("_cover").isNull() | (F.col("_cover") < bound))
     cut = F.array(F.struct(F.greatest(F.col("_runs")[0]["_s"], "_cover").alias("_s"), F.col("_runs")[0]["_t"].alias("_t")))
     runs = runs.withColumn("_runs", F.when(F.col("_w") == 1, cut).otherwise(F.col("_runs")))
     runs = runs.select(*keys, "_b", "_w", "_runs", n.alias("_n"), F.col("_runs")[0]["_s"].alias("_first"), F.col("_runs")[n - 1]["_s"].alias("_tail"), F.col("_runs")[n - 1]["_t"].alias("_last"))
