@@ -57,20 +57,22 @@ def chords_within(notes: DataFrame, tpb: int, offset: float = 0.25, most: int =
     known = {v: k for k, v in CHORDS.items()}
 
     def scan(own: list) -> Iterator[tuple[int, str]]:
-        at, past = 0, None
+        """own: (time, pitch, end) of a track's notes in order. `spent` is the latest onset of the notes taken last; a group whose ends differ is passed over, and spends none."""
+        at, spent = 0, None
         while at < len(own):
             start, pitch, end = own[at]
-            if start == past:
+            if start == spent:
                 at += 1
                 continue
-            group = [x for x in own[at : at + most] if x[0] <= start + near]
-            if all(abs(e - end) <= half for _, _, e in group):
-                together = [x for x in group if x[0] == start] if end - start <= half else group
-                steps = tuple(p - pitch for _, p, _ in together)
+            taken = [x for x in own[at : at + most] if x[0] - start <= near]
+            if max(abs(e - end) for _, _, e in taken) <= half:
+                if end - start <= half:  # short notes only go with those of their own onset
+                    taken = [x for x in taken if x[0] == start]
+                steps = tuple(p - pitch for _, p, _ in taken)
                 if 3 <= len(steps) <= 5 and steps[-1] <= 24 and (unknown or steps in known):
                     yield start, f"{CLASSES[pitch % 12]}:{known.get(steps, f'ukn{len(steps)}')}"
-            past = max(x[0] for x in group)
-            at += len(group)
+                spent = taken[-1][0]
+            at += len(taken)
 
     def rows(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:

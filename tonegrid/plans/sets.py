@@ -105,7 +105,16 @@ def split_tracks(spark, sf):
     return base.grid_notes(spark, sf).select(F.concat_ws("-", "score_id", "track_idx").alias("score"), "program", "is_drum", "time", "duration", "pitch", "velocity")
 
 
-@query()
+@query(f"""with recursive {GRID}, bc as (select score_id, time // 32 as bar, 3 * count(*) n from gr group by all), al as (select score_id, unnest(generate_series(0, max(bar))) bar from bc group by score_id),
+  cn as materialized (select al.score_id, al.bar, coalesce(n, 0)::bigint n, coalesce(lag(n) over (partition by al.score_id order by al.bar), 0)::bigint before from al left join bc using (score_id, bar)),
+  rc as (select score_id, 0::bigint nxt, 0::bigint f, 0::bigint total, []::struct(f bigint, l bigint)[] done from (select distinct score_id from cn)
+    union all
+    select r.score_id, r.nxt + 1, case when not z.full then r.f when z.kept then r.nxt - 1 else r.nxt end, case when not z.full then r.total + c.n when z.kept then c.before + c.n else c.n end,
+      case when z.full then list_append(r.done, {{'f': r.f, 'l': r.nxt - 1}}) else r.done end
+    from rc r join cn c on c.score_id = r.score_id and c.bar = r.nxt, lateral (select r.nxt > r.f and r.total + c.n > 512 as full, c.before + c.n <= 512 and r.nxt - r.f > 1 as kept) z),
+  fin as (select score_id, max_by(done, nxt) done, max_by(f, nxt) f, max_by(total, nxt) total, max(nxt) nxt from rc group by score_id),
+  pc as (select score_id, case when total >= 128 then list_append(done, {{'f': f, 'l': nxt - 1}}) else done end p from fin)
+  select score_id, (generate_subscripts(p, 1) - 1)::bigint as piece, unnest(p).f as first_bar, unnest(p).l as last_bar from pc""")
 def split_density(spark, sf):
     return structure.split_by_density(_bar_counts(spark, sf), 512)
 
@@ -284,7 +293,7 @@ def _parts_sql(name: str, src: str, n: str, k: str, seed: int) -> str:
 def _mask_sql(density: float, span: float, seed: int = 1) -> str:
     return f"""mz_0 as (select score_id, seq_id, n, greatest(1, least(round_even(n * {density}::double, 0)::bigint, n - 1)) nz from sq where n > 1),
 mz as (select score_id, seq_id, nz, n - nz cl, greatest(1, least(round_even(nz / {span}::double, 0)::bigint, nz, n - nz)) sp from mz_0), {_parts_sql('pn', 'mz', 'nz', 'sp', seed)}, {_parts_sql('pc', 'mz', 'cl', 'sp', seed + 1)},
-mask as (select score_id, seq_id, row_number() over (partition by score_id, seq_id order by part, noise, i) - 1 as pos, noise from (select *, 1 noise from pn union all select *, 0 from pc))"""
+mask as materialized (select score_id, seq_id, row_number() over (partition by score_id, seq_id order by part, noise, i) - 1 as pos, noise from (select *, 1 noise from pn union all select *, 0 from pc))"""
 
 
 @query(f"with {_SEQS}, {_parts_sql('rp', 'sq', 'n', '5', 7)} select score_id, seq_id, i, part from rp")
@@ -340,12 +349,12 @@ _MARKS = {"bar": [4], "beat": [10], "note": list(range(42, 131))}
 
 def _denoise_query(task: str):
     density, span, mark = corrupt.TASKS[task]
-    sql = f"with {_SEQS}, {_POS}, {_mask_sql(density, span)}, md as (select p.score_id, p.seq_id, p.pos, p.id, m.noise from ps p join mask m using (score_id, seq_id, pos))"
+    sql = f"with {_SEQS}, {_POS}, {_mask_sql(density, span)}, md as materialized (select p.score_id, p.seq_id, p.pos, p.id, m.noise from ps p join mask m using (score_id, seq_id, pos))"
     if mark:
         ids = ", ".join(map(str, _MARKS[mark]))
         w = "over (partition by score_id, seq_id order by pos"
         sql += f""", a1 as (select *, case when id in ({ids}) then pos end b, case when noise = 1 and coalesce(lag(noise) {w}), 0) = 0 then 1 else 0 end st from md),
-  a2 as (select *, min(b) {w} rows between current row and unbounded following) nx, max(b) over (partition by score_id, seq_id) fin, count(*) over (partition by score_id, seq_id) n, sum(st) {w}) sp from a1),
+  a2 as materialized (select *, min(b) {w} rows between current row and unbounded following) nx, max(b) over (partition by score_id, seq_id) fin, count(*) over (partition by score_id, seq_id) n, sum(st) {w}) sp from a1),
   a3 as (select score_id, seq_id, sp, arg_min(coalesce(nx, fin, pos), pos) st, count(*) k, max(n) n from a2 where noise = 1 group by score_id, seq_id, sp),
   a4 as (select distinct score_id, seq_id, unnest(generate_series(st, least(st + k, n) - 1)) pos from a3)
   select score_id, seq_id, pos, id, case when a4.pos is not null then 1 else 0 end as noise from md left join a4 using (score_id, seq_id, pos)"""
@@ -527,7 +536,18 @@ def program_changes(spark, sf):
     return harmony.program_changes(base.grid_notes(spark, sf))
 
 
-@query()
+def _rests_sql() -> str:
+    from tonegrid.plans.music import _TRIPLE, _greedy, _places
+    from tonegrid.plans.streams import _REST
+
+    q = "((time - en) % 96)"
+    rests = f"""list_transform(list_concat(list_transform(range((time - en) // 96), lambda i: 96), case when {q} >= 16 and {q} % 4 > 0 then [{q} - {q} % 4, {q} % 4] when {q} between 8 and 15 and {q} % 2 > 0 then [{q} - 1, 1] when {q} > 0 then [{q}] else [] end), lambda n: 'Rest_' || {_REST})"""
+    rows = f"""select score_id, track_idx, nord, list_concat(case when time <> lt and time - en >= 1 then {rests} else {_greedy('time - lt')} end, [{_TRIPLE}]) tokens
+      from (select *, coalesce(lag(time) over (partition by score_id, track_idx order by nord), 0) lt, coalesce(max(time + duration) over (partition by score_id, track_idx order by nord rows between unbounded preceding and 1 preceding), 0) en from grn)"""
+    return f"with {GRID} {_places(rows, 'nord')}"
+
+
+@query(_rests_sql())
 def tsd_rests_encode(spark, sf):
     return harmony.encode_tsd_rests(base.grid_notes(spark, sf))
 

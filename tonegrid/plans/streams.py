@@ -208,7 +208,6 @@ FORMS: dict[str, tuple[Callable, Callable, Switches]] = {
     "tsd_whole": (stream.encode_tsd, tsd_sql, Switches(**_WHOLE, intervals=True, programs=True, program_changes=True)),
     "tsd_one_stream": (stream.encode_tsd, tsd_sql, Switches(**_WHOLE, chords=True, programs=True, one_stream=True, program_changes=True)),
     "midilike_whole": (stream.encode_tsd, tsd_sql, Switches(**_WHOLE, chords=True, note_offs=True)),
-    "midilike_one_stream": (stream.encode_tsd, tsd_sql, Switches(tempos=True, programs=True, one_stream=True, note_offs=True)),
     "octuple_whole": (stream.encode_octuple, octuple_sql, Switches(signatures=True, tempos=True, programs=True, one_stream=True)),
     "cpword_whole": (stream.encode_cpword, cpword_sql, Switches(signatures=True, tempos=True, rests=True, chords=True, programs=True, one_stream=True)),
 }
