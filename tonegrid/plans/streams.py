@@ -146,15 +146,15 @@ a1 as (select *, lag(time) over {over}) last, lag(kind) over {over}) last_kind,
 a2 as (select a.*, s.f, s.num, s.den, s.bar0 + (a.time - s.t0) // s.long bar, s.t0 + (a.time - s.t0) // s.long * s.long bar_tick from a1 a asof left join sec s on a.score_id = s.score_id and a.time >= s.t0),
 a3 as (select a.*, s.f bf, s.num bnum, s.den bden, (a.time - reached) // s.f quiet, last is null or last <> time {'or last_kind = ' + "'TimeSig'" if not w.note_offs else ''} apart from a2 a asof left join sec s on a.score_id = s.score_id and a.bt >= s.t0),
 a4 as (select *, {silent} rs, {changes} changed, {head} head from a3),
-a5 as (select *, list_transform(rs, lambda n: 'Rest_' || {_REST}) rest_tokens, case when len(rs) > 0 then reached + list_sum(rs)::bigint * bf else last end elapsed, greatest(case when last is null then -1 else lag(bar) over {over}) end, -1) lb from a4),
+a5 as (select *, list_transform(rs, lambda n: 'Rest_' || {_REST}) rest_tokens, case when len(rs) > 0 then reached + list_sum(rs)::bigint * bf else last end elapsed, greatest(case when last is null then -1 else lag(bar) over (partition by {key} order by nr) end, -1) lb from a4),
 rw as (select a.*, greatest(lb, case when len(rs) > 0 then s.bar0 + (a.el - s.t0) // s.long else -1 end) known from (select *, coalesce(elapsed, 0) el from a5) a asof left join sec s on a.score_id = s.score_id and a.el >= s.t0)"""
 
 
 def _placed(w: Switches, tokens: str) -> str:
     key = "score_id" if w.one_stream else "score_id, track_idx"
     track = "" if w.one_stream else "track_idx, "
-    return f"""select score_id, {track}row_number() over (partition by {key} order by {_ORDER.replace('track_idx', 'ti')}, i) as ord, token from (
-  select score_id, track_idx, track_idx as ti, {_ORDER.replace('track_idx, ', '')}, unnest(tk) token, generate_subscripts(tk, 1) i from (select *, {tokens} tk from rw))"""
+    return f"""select score_id, {track}row_number() over (partition by {key} order by nr, i) as ord, token from (
+  select score_id, track_idx, nr, unnest(tk) token, generate_subscripts(tk, 1) i from (select *, {tokens} tk from rw))"""
 
 
 def _all(w: Switches) -> str:
@@ -178,14 +178,14 @@ def tsd_sql(w: Switches) -> str:
 
 def octuple_sql(w: Switches) -> str:
     key = "score_id" if w.one_stream else "score_id, track_idx"
-    tempo = f"coalesce(last_value(case when kind = 'Tempo' then tokens[1] end ignore nulls) over (partition by {key} order by {_ORDER} rows unbounded preceding), 'Tempo_{DEFAULT.default_tempo}')" if w.tempos else "null::varchar"
-    return f"""{_all(w)}, o as (select *, {tempo} tm from rw) select {key}, row_number() over (partition by {key} order by {_ORDER}) as ord, tokens[-3] as pitch, 'Position_' || ((time - bar_tick) // f) as position, 'Bar_' || least(bar, 59) as bar,
+    tempo = f"coalesce(last_value(case when kind = 'Tempo' then tokens[1] end ignore nulls) over (partition by {key} order by nr rows unbounded preceding), 'Tempo_{DEFAULT.default_tempo}')" if w.tempos else "null::varchar"
+    return f"""{_all(w)}, o as (select *, {tempo} tm from rw) select {key}, row_number() over (partition by {key} order by nr) as ord, tokens[-3] as pitch, 'Position_' || ((time - bar_tick) // f) as position, 'Bar_' || least(bar, 59) as bar,
   tokens[-2] as velocity, tokens[-1] as duration, {"'Program_' || program" if w.programs else 'null::varchar'} as program, tm as tempo, {"'TimeSig_' || num || '/' || den" if w.signatures else 'null::varchar'} as signature from o where kind = 'Note'"""
 
 
 def cpword_sql(w: Switches) -> str:
     key = "score_id" if w.one_stream else "score_id, track_idx"
-    tempo = f"coalesce(last_value(case when kind = 'Tempo' then tokens[1] end ignore nulls) over (partition by {key} order by {_ORDER} rows unbounded preceding), 'Tempo_{DEFAULT.default_tempo}')" if w.tempos else "'Ignore_None'"
+    tempo = f"coalesce(last_value(case when kind = 'Tempo' then tokens[1] end ignore nulls) over (partition by {key} order by nr rows unbounded preceding), 'Tempo_{DEFAULT.default_tempo}')" if w.tempos else "'Ignore_None'"
     word = lambda **p: " || ' ' || ".join(p.get(c, "'Family_Metric'" if c == "family" else "'Ignore_None'") for c in stream.WORD)
     sign = "case when kind = 'TimeSig' and b < bar then 'TimeSig_' || bnum || '/' || bden else 'TimeSig_' || num || '/' || den end" if w.signatures else "'Ignore_None'"
     none = "'Bar_None'"
@@ -255,7 +255,7 @@ def mumidi_whole(spark, sf):
 
 
 QUERIES["mumidi_whole"] = mumidi_whole
-SQL["mumidi_whole"] = f"""{_all(_MU)}, m1 as (select *, coalesce(last_value(case when kind = 'Tempo' then tokens[1] end ignore nulls) over (partition by score_id order by {_ORDER} rows unbounded preceding), 'Tempo_{DEFAULT.default_tempo}') tm from rw),
+SQL["mumidi_whole"] = f"""{_all(_MU)}, m1 as (select *, coalesce(last_value(case when kind = 'Tempo' then tokens[1] end ignore nulls) over (partition by score_id order by nr rows unbounded preceding), 'Tempo_{DEFAULT.default_tempo}') tm from rw),
 m2 as (select *, row_number() over (partition by score_id order by time, program, track_idx, k1, k2, k3) n from m1 where kind = 'Note'),
 m3 as (select *, lag(time) over (partition by score_id order by n) lt, lag(program) over (partition by score_id order by n) lp, 'BarPosEnc_' || least(time // 32, 59) b, 'PositionPosEnc_' || (time % 32) q from m2),
 m4 as ({music._places('''select score_id, n, list_concat(list_transform(range((coalesce(lt // 32, -1) + 1)::bigint, (time // 32 + 1)::bigint), lambda i: 'Bar_None BarPosEnc_' || least(i, 59) || ' PositionPosEnc_None ' || tm || ' - -'),
