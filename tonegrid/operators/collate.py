@@ -37,8 +37,7 @@ def merge_vocabularies(text: DataFrame, music: DataFrame) -> DataFrame:
     """token, id: the text vocabulary as it is, then the tokens only `music` has, sorted, from the largest id + 1 on. Vocabularies are small tables."""
     top = text.agg(F.coalesce(F.max("id") + 1, F.lit(0)).alias("top"))
     new = music.select("token").distinct().join(text.select("token"), "token", "left_anti")
-    new = new.withColumn("_n", F.row_number().over(Window.orderBy("token")) - 1).withColumn("_one", F.lit(1))
-    new = new.join(F.broadcast(top.withColumn("_one", F.lit(1))), "_one")
+    new = new.withColumn("_n", F.row_number().over(Window.orderBy("token")) - 1).withColumn("top", top.scalar())
     return text.select("token", F.col("id").cast("bigint").alias("id")).unionByName(new.select("token", (F.col("top") + F.col("_n")).cast("bigint").alias("id")))
 
 

@@ -155,7 +155,7 @@ def merge_by_bar(rows: DataFrame, score: str, track: str, bar_id: int) -> DataFr
     d = rows.where(F.col("id") != bar_id).select(score, "bar", F.lit(1).alias("_k"), track, "pos", "id")
     heads = rows.where(F.col("id") == bar_id).select(score, "bar").distinct().select(score, "bar", F.lit(0).alias("_k"), F.lit(None).cast("int").alias(track), F.lit(None).cast("bigint").alias("pos"), F.lit(bar_id).alias("id"))
     place = Window.partitionBy(score).orderBy("bar", "_k", track, "pos")
-    return d.unionByName(heads).select(score, F.row_number().over(place).cast("bigint").alias("ord"), "id")
+    return d.unionByName(heads).repartition(score).select(score, F.row_number().over(place).cast("bigint").alias("ord"), "id")
 
 
 def with_beats(rows: DataFrame, keys: list[str], first: int, last: int, per: int) -> DataFrame:

@@ -143,7 +143,7 @@ def encode_mmm(notes: DataFrame, config: GridConfig = DEFAULT) -> DataFrame:
     body = encode_remi(notes, config)
     ends = notes.groupBy(*TRACK).agg(F.min("program").alias("program"))
     head = F.array(F.struct(F.lit(-2).cast("bigint").alias("ord"), F.lit("Track_Start").alias("token")), F.struct(F.lit(-1).cast("bigint").alias("ord"), _token("Program", F.col("program")).alias("token")), F.struct(F.lit((1 << 62)).alias("ord"), F.lit("Track_End").alias("token")))
-    d = body.unionByName(ends.select(*TRACK, F.inline(head)))
+    d = body.unionByName(ends.select(*TRACK, F.inline(head))).repartition("score_id")
     along = Window.partitionBy("score_id").orderBy("track_idx", "ord")
     return d.select("score_id", F.row_number().over(along).cast("bigint").alias("ord"), "track_idx", "token")
 

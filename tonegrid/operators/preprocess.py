@@ -120,7 +120,7 @@ def quantize_tempos(tempos: DataFrame, tpq: DataFrame, config: GridConfig = DEFA
     d = d.groupBy("score_id", "time").agg(F.max_by("usec", F.struct("_t", "usec")).alias("usec")).select("score_id", "time", value.alias("tempo"))
     along = Window.partitionBy("score_id").orderBy("time")
     first = d.groupBy("score_id").agg(F.min("time").alias("m")).where("m > 0").select("score_id", F.lit(0).cast("bigint").alias("time"), F.lit(config.default_tempo).alias("tempo"))
-    d = d.unionByName(first)
+    d = d.unionByName(first).repartition("score_id")  # a window must not take the partitions of the union's sides for its own
     if config.drop_equal_tempos:
         d = d.withColumn("_b", F.lag("tempo").over(along)).where("_b is null or _b <> tempo").drop("_b")
     return d

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonegrid.functions import uniform
 from tonegrid.operators import corrupt, events, grammar, grid, preprocess, score
 from tonegrid.plans import base, music, sets
 from tonegrid.plans.base import GRID, SIGNATURES
@@ -76,24 +75,9 @@ def remi_signatures_encode(spark, sf):
     return events.encode_remi_signatures(notes.where("bar is not null").drop("tick", "num", "den"), bars)
 
 
-def _broken(tokens: DataFrame, keys: list[str]) -> DataFrame:
-    """Tokens of which a seeded tenth is left out, so that there are errors to count."""
-    return tokens.where(uniform(11, *keys, "ord") >= 0.1)
-
-
-@query(f"""with t as (select * from {_inner('midilike_encode')} where {_u(11, 'score_id', 'track_idx', 'ord')} >= 0.1), a as (select score_id, track_idx, ord, split_part(token, '_', 1) k, split_part(token, '_', 2) p from t),
+@query(f"""with t as (select * from {_inner('midilike_encode')}), a as (select score_id, track_idx, ord, split_part(token, '_', 1) k, split_part(token, '_', 2) p from t),
   b as (select *, case when k like '%On' then 1 else -1 end d from a where k in ('NoteOn', 'DrumOn', 'NoteOff', 'DrumOff')), c as (select *, sum(d) over (partition by score_id, track_idx, k like 'Drum%', p order by ord) s from b),
   e as (select score_id, track_idx, k like 'Drum%' dr, p, least(0, min(s)) m, sum(d) s from c group by all) select score_id, track_idx, sum(-m)::bigint as n_unstarted, sum(s - m)::bigint as n_unended from e group by score_id, track_idx""")
-def midilike_errors(spark, sf):
-    return events.midilike_errors(_broken(grammar.encode_midilike(base.grid_notes(spark, sf)), ["score_id", "track_idx"]))
-
-
-def _unbroken(name: str) -> str:
-    """The SQL of a query of errors over all tokens."""
-    return SQL[name].replace(f" where {_u(11, 'score_id', 'track_idx', 'ord')} >= 0.1", "", 1)
-
-
-@query(_unbroken("midilike_errors"))
 def midilike_errors_all(spark, sf):
     return events.midilike_errors(grammar.encode_midilike(base.grid_notes(spark, sf)))
 
@@ -104,15 +88,10 @@ def octuple_errors(spark, sf):
     return events.octuple_errors(grammar.encode_octuple(base.grid_notes(spark, sf)))
 
 
-@query(f"""with t as (select * from {_inner('cpword_encode')} where {_u(11, 'score_id', 'track_idx', 'ord')} >= 0.1), a as (select *, sum(case when position = 'Bar_None' then 1 else 0 end) over w b, case when position like 'Position%' then split_part(position, '_', 2)::int end p, family = 'Family_Note' note from t window w as (partition by score_id, track_idx order by ord)),
+@query(f"""with t as (select * from {_inner('cpword_encode')}), a as (select *, sum(case when position = 'Bar_None' then 1 else 0 end) over w b, case when position like 'Position%' then split_part(position, '_', 2)::int end p, family = 'Family_Note' note from t window w as (partition by score_id, track_idx order by ord)),
   c as (select *, sum(case when p is not null then 1 else 0 end) over (partition by score_id, track_idx order by ord) o from a),
   e as (select *, coalesce(p <= max(p) over (partition by score_id, track_idx, b order by ord rows between unbounded preceding and 1 preceding), false) x, row_number() over (partition by score_id, track_idx, o, note, pitch order by ord) r from c)
   select score_id, track_idx, count(*) as n_rows, sum(case when x or (note and (r > 1 or o = 0)) then 1 else 0 end)::bigint as n_errors from e group by score_id, track_idx""")
-def cpword_errors(spark, sf):
-    return events.cpword_errors(_broken(grammar.encode_cpword(base.grid_notes(spark, sf)), ["score_id", "track_idx"]))
-
-
-@query(_unbroken("cpword_errors"))
 def cpword_errors_all(spark, sf):
     return events.cpword_errors(grammar.encode_cpword(base.grid_notes(spark, sf)))
 

@@ -49,16 +49,10 @@ def merge_same_program(spark, sf):
     return structure.merge_same_program(base.grid_notes(spark, sf))
 
 
-@query(f"""with {GRID}, c as (select * exclude (program), case when program < 0 then 16 else program // 8 end::int as "class" from gr), d as (select *, dense_rank() over (partition by score_id order by "class") k from c)
-  select score_id, track_idx, "class", case when "class" = 16 then -1 else "class" * 8 end as program, is_drum, {_N} from d where k <= 3""")
-def merge_per_class(spark, sf):
-    return structure.merge_per_class(base.grid_notes(spark, sf), 3)
-
-
 @query(f"""with {GRID}, c as (select * exclude (program), case when program < 0 then 16 else program // 8 end::int as "class" from gr)
   select score_id, track_idx, "class", case when "class" = 16 then -1 else "class" * 8 end as program, is_drum, {_N} from c""")
 def merge_per_class_all(spark, sf):
-    """Every class of a score; merge_per_class, as its SQL prescribes, has the three lowest."""
+    """Every class of a score."""
     return structure.merge_per_class(base.grid_notes(spark, sf))
 
 
@@ -317,18 +311,6 @@ def sentinel_spans(spark, sf):
     return corrupt.span_corruption(_seqs(spark, sf), SEQ, "ids", 0.15, 3.0, 9000)
 
 
-@query("""with t as (select score_id, seq_id, any_value(tokens) tokens from token_file where len(tokens) > 0 group by score_id, seq_id), p as (select score_id, seq_id, generate_subscripts(tokens, 1) - 1 as pos, unnest(tokens) as token from t),
-  q as (select *, split_part(token, '_', 1) k from p) select score_id, seq_id, pos, 'bar' as mark from q where k = 'Bar' union all select score_id, seq_id, pos, 'beat' from q where token = 'Position_0'
-  union all select score_id, seq_id, pos, 'note' from q where k in ('Pitch', 'PitchDrum') union all select score_id, seq_id, pos, 'time' from q where k in ('Position', 'TimeShift')""")
-def structure_marks(spark, sf):
-    from pyspark.sql import Window
-
-    first = Window.partitionBy(*SEQ).orderBy("loaded_at")
-    d = table(spark, sf, "token_file").where("size(tokens) > 0").select(*SEQ, "tokens", F.row_number().over(first).alias("_n")).where("_n = 1")
-    rows = d.select(*SEQ, F.posexplode("tokens").alias("pos", "token")).withColumn("pos", F.col("pos").cast("bigint"))
-    return corrupt.structure_marks(rows, SEQ)
-
-
 @query("""with t as (select score_id, seq_id, ids, tokens from (select *, row_number() over (partition by score_id, seq_id order by case when len(tokens) > 0 then 0 else 1 end, loaded_at) n from token_file) where n = 1),
   p as (select score_id, seq_id, unnest(range(greatest(coalesce(len(ids), 0), coalesce(len(tokens), 0)))) pos, unnest(ids) id, unnest(tokens) token from t), r as (select score_id, seq_id, pos, coalesce(p.token, v.token) token from p left join vocab v on v.id = p.id),
   q as (select *, split_part(token, '_', 1) k from r) select score_id, seq_id, pos, 'bar' as mark from q where k = 'Bar' union all select score_id, seq_id, pos, 'beat' from q where token = 'Position_0'
@@ -451,14 +433,6 @@ def collate_pad(spark, sf):
     return d.select(*SEQ, *[_TEXT(c).alias(c) for c in ("input_ids", "attention_mask", "labels")])
 
 
-@query("""with t as (select token, id from vocab where id < 100), n as (select distinct token from token_file, unnest(tokens) u(token) where token is not null and token not in (select token from t))
-  select token, id::bigint as id from t union all select token, 99 + row_number() over (order by token) from n""")
-def merge_vocab(spark, sf):
-    text = table(spark, sf, "vocab").where("id < 100").select("token", "id")
-    music = table(spark, sf, "token_file").select(F.explode("tokens").alias("token")).where("token is not null").distinct()
-    return collate.merge_vocabularies(text, music)
-
-
 @query("""with n as (select distinct token from token_file, unnest(tokens) u(token) where token is not null and token not in (select token from vocab))
   select token, id::bigint as id from vocab union all select token, (select max(id) from vocab) + row_number() over (order by token) from n""")
 def merge_vocab_all(spark, sf):
@@ -467,13 +441,6 @@ def merge_vocab_all(spark, sf):
     return collate.merge_vocabularies(table(spark, sf, "vocab").select("token", "id"), music)
 
 
-@query("with v as (select '<extra_id_' || (id % 60 + case when id % 60 > 40 then 1 else 0 end) || '>' as token, min(id) as id from vocab group by 1), w as (select *, regexp_extract(token, '([0-9]+)', 1)::bigint i from v), x as (select *, row_number() over (order by i) - 1 k from w) select token, id from x where i = k")
-def sentinel_discovery(spark, sf):
-    i = F.col("id") % 60
-    v = table(spark, sf, "vocab").select(F.concat(F.lit("<extra_id_"), (i + F.when(i > 40, 1).otherwise(0)).cast("string"), F.lit(">")).alias("token"), "id")
-    return collate.sentinels(v.groupBy("token").agg(F.min("id").alias("id")))
-
-
 @query("with w as (select token, id, try_cast(regexp_extract(token, '^<extra_id_([0-9]+)>$', 1) as bigint) i from vocab), x as (select *, row_number() over (order by i) - 1 k from w where i is not null) select token, id from x where i = k")
 def sentinel_discovery_all(spark, sf):
     """Over vocab's own names and ids; a vocab without sentinels gives no rows."""
