@@ -1,5 +1,7 @@
 """Text that shows its wrong decoding without a letter."""
 
+import math
+
 from tonegrid.llm import mojibake
 
 
@@ -15,7 +17,7 @@ def test_symbols_count_where_their_cipher_is_frequent():
     cipher = ("cp1251", "cp1252")
     pairs = {"0 ": 500.0, " €": 500.0, "€ ": 500.0, "€.": 200.0, " ˆ": 0.01}
     for share, found in ((0.2, True), (0.0, False)):
-        reader = mojibake.Reader(pairs, {(0, "<".join(cipher)): 1000 * share, (0, ""): 1000 * (1 - share)})
-        got = reader.document(0, "It paid 100 ˆ and 200 ˆ.")
+        priors = {"<".join(cipher): math.log(1000 * share / 1001)} if share else {}
+        got = mojibake.Reader(pairs).document(priors, "It paid 100 ˆ and 200 ˆ.")
         assert (got is not None) == found
         assert not found or got[1] == "It paid 100 € and 200 €."
